@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmark.llm import line_dedup
+from leafmark.llm import bpe, line_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": line_dedup.op1_line_dedup}
+    return {"op1_line_dedup": line_dedup.op1_line_dedup, "op7_byte_bpe": bpe.op7_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
