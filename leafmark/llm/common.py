@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,7 +72,7 @@ def steps(batches: Iterator[pa.RecordBatch], most: int = STEP_BYTES, column: int
         if c.nbytes <= most:
             yield b
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(c), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(c), 0).to_pylist()
         at = size = 0
         for i, n in enumerate(lengths):
             if size and size + n > most:

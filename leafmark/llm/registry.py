@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmark.llm import bpe, line_dedup
+from leafmark.llm import bpe, line_dedup, packing, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": line_dedup.op1_line_dedup, "op7_byte_bpe": bpe.op7_byte_bpe}
+    return {"op1_line_dedup": line_dedup.op1_line_dedup, "op7_byte_bpe": bpe.op7_byte_bpe, "op9_best_fit_packing": packing.op9_best_fit_packing, "op8_quality_rules": quality_rules.op8_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
