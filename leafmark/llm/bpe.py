@@ -18,6 +18,8 @@ from __future__ import annotations
 import base64
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +36,22 @@ SPACE = r"\x09-\x0d\x20\x85\xa0  -     　"
 ROOT, START, ANY = 0, -1, -2
 
 
+class State(dict):
+    """Arcs {byte: (state, emitted tokens)}, made when first asked for."""
+
+    __slots__ = ("end", "kept", "last", "of", "places")
+
+    def __missing__(self, byte: int) -> tuple[State, tuple[int, ...]]:
+        arc = self.of.arc(self.last, self.places, byte)
+        if len(self.of.states) < self.of.most_states or arc[0].kept:
+            self[byte] = arc
+        return arc
+
+
 class Transducer:
     """Tokens of byte strings under ranks {token bytes: id}; the ids are also the order of merges."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 200_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 160_000) -> None:
         self.ranks, self.most_states = ranks, most_states
         self.children: dict[int, int] = {}
         self.token_at, self.inner = [-1], [False]
@@ -49,15 +63,9 @@ class Transducer:
                 a, b = self._last_merge(word, rank)
                 self.halves[rank] = (a, b)
                 self.joined[a, b] = rank
-        self.fits: dict[tuple[int, int], bool] = {}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.states: dict[tuple, int] = {}
-        self.ends: list[tuple[int, ...]] = []
-        self.known: list[tuple] = []
-        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self._state((START, ((ROOT, ()),)))
+        self.fits: dict[int, bool] = {}
+        self.states: dict[tuple, State] = {}
+        self.start = self._state(START, ((ROOT, ()),))
 
     def _add(self, word: bytes, rank: int) -> None:
         node = ROOT
@@ -84,10 +92,10 @@ class Transducer:
     def _fit(self, left: int, right: int) -> bool:
         """Whether the bytes of two tokens, together, are encoded as these two tokens. Merges are undone from
         the last to the first; at each time the two tokens that meet must not have been merged by then."""
-        key = (left, right)
+        key = left << 20 | right
         if (known := self.fits.get(key)) is not None:
             return known
-        if len(self.fits) > self.most_states:
+        if len(self.fits) > 300_000:
             self.fits.clear()
         before, ok = 1 << 40, True  # merges of a rank below this are still open across the border
         while True:
@@ -105,15 +113,18 @@ class Transducer:
         self.fits[key] = ok
         return ok
 
-    def _state(self, state: tuple) -> int:
-        if (number := self.states.get(state)) is None:
-            number = self.states[state] = len(self.known)
-            self.known.append(state)
-            self.ends.append(state[1][-1][1])
-        return number
-
-    def _arc(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        last, places = self.known[number]
+    def _state(self, last: int, places: tuple) -> State:
+        """The states met first, which are the common ones, are kept; others are made again when needed."""
+        key = (last, places)
+        if (state := self.states.get(key)) is None:
+            state = State()
+            state.of, state.last, state.places, state.end = self, last, places, places[-1][1]
+            state.kept = len(self.states) < self.most_states
+            if state.kept:
+                self.states[key] = state
+        return state
+
+    def arc(self, last: int, places: tuple, byte: int) -> tuple[State, tuple[int, ...]]:
         after, whole = [], None
         for node, tokens in places:
             if (child := self.children.get(node << 8 | byte)) is None:
@@ -126,34 +137,29 @@ class Transducer:
                 after.append((child, tokens))
         after.append((ROOT, whole))
         shared = 0
-        while all(len(t) > shared for _, t in after) and len({t[shared] for _, t in after}) == 1:
+        while after[0][1] and all(len(t) > shared for _, t in after) and len({t[shared] for _, t in after}) == 1:
             shared += 1
         emitted = whole[:shared]
         after = tuple((node, tokens[shared:]) for node, tokens in after)
-        last = emitted[-1] if emitted else last
-        if all(tokens for _, tokens in after):
-            last = ANY
-        arc = self.arcs[number << 8 | byte] = (self._state((last, after)), emitted)
-        return arc
+        last = ANY if all(tokens for _, tokens in after) else emitted[-1] if emitted else last
+        return self._state(last, after), emitted
 
     def __call__(self, word: bytes) -> list[int]:
-        if len(self.known) > self.most_states:
-            self._forget()
         out: list[int] = []
-        at, arcs = 0, self.arcs
+        state = self.start
         for byte in word:
-            at, emitted = arcs.get(at << 8 | byte) or self._arc(at, byte)
+            state, emitted = state[byte]
             if emitted:
-                out.extend(emitted)
-        out.extend(self.ends[at])
+                out += emitted
+        out += state.end
         return out
 
 
 class Encoder:
     """Ids of texts as packed little-endian unsigned 32-bit integers. Text between spaces is encoded on its
-    own (no pretoken crosses it) and remembered, up to `most` pieces."""
+    own (no pretoken crosses it) and remembered: the last `most` to 2 * `most` pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, special: dict[str, int] | None = None, most: int = 400_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, special: dict[str, int] | None = None, most: int = 200_000) -> None:
         self.transducer, self.most = Transducer(ranks), most
         self.fine = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
         self.coarse = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
@@ -162,13 +168,20 @@ class Encoder:
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.words = dict.fromkeys(range(max(ranks.values()) + 1), b"") | {v: k for k, v in ranks.items()} | {v: k.encode() for k, v in self.special.items()}
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        ids = [t for word in self.fine.findall(piece) for t in self.transducer(word.encode())]
-        packed = np.array(ids, "<u4").tobytes()
+        if (packed := self.older.get(piece)) is None:
+            ids: list[int] = []
+            if piece.isalpha() or (piece[0] == " " and piece[1:].isalpha()):  # the pattern takes it whole
+                ids = self.transducer(piece.encode())
+            else:
+                for word in self.fine.findall(piece):
+                    ids += self.transducer(word.encode())
+            packed = array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
         if len(piece) <= 64:
             if len(self.memo) >= self.most:
-                self.memo.clear()
+                self.older, self.memo = self.memo, {}
             self.memo[piece] = packed
         return packed
 
@@ -180,13 +193,21 @@ class Encoder:
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        memo, piece = self.memo, self._piece
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
-        return b"".join([memo.get(x) or piece(x) for x in (self.coarse if odd else self.quick).findall(text)])
+        pieces = (self.coarse if odd else self.quick).findall(text)
+        known = list(map(self.memo.get, pieces))
+        if None in known:
+            known = [k or self._piece(x) for k, x in zip(known, pieces, strict=True)]
+        return b"".join(known)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.words.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
+    def text(self, ids: bytes, chunk: int = 4096) -> str:
+        """Decoded as a stream of `chunk` ids at a time."""
+        stream = Utf8Stream()
+        return "".join([stream.feed(self.decode(ids[i : i + 4 * chunk])) for i in range(0, len(ids), 4 * chunk)]) + stream.feed(b"", True)
+
 
 class Utf8Stream:
     """Characters of a stream of bytes; its state is the beginning of a character that has not ended.
@@ -256,19 +277,27 @@ def decode_ids(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for b in common.steps(batches, column="ids"):
-            texts = []
-            for ids in b.column("ids").to_pylist():
-                stream = Utf8Stream()
-                texts.append("".join([stream.feed(e.decode(ids[i : i + 4 * chunk])) for i in range(0, len(ids or b""), 4 * chunk)]) + stream.feed(b"", True))
+            texts = [e.text(ids or b"", chunk) for ids in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("ids"), pa.array(texts, pa.string())], ["id", "ids", "text"])
 
     common.small_batches(rows.sparkSession)
     return rows.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, ids binary, text string").withColumnsRenamed({"id": id_col, "ids": ids_col})
 
 
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = 4096) -> DataFrame:
+    """(id column, ids, n_tokens, text): encoded and decoded again in one Python worker."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path)
+        for b in common.steps(batches):
+            ids = [e.encode(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([e.text(x, chunk) for x in ids], pa.string())], ["id", "ids", "n_tokens", "text"])
+
+    common.small_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids binary, n_tokens long, text string").withColumnRenamed("id", id_col)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = encode_texts(common.table(spark, sf_dir, "documents"), path)
-    return decode_ids(coded, path).select(
-        "doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
-    )
+    out = round_trip(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))

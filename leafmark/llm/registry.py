@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmark.llm import bpe, line_dedup, packing, quality_rules, substring_dedup
+from leafmark.llm import bpe, license_scan, line_dedup, packing, quality_rules, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": line_dedup.op1_line_dedup, "op7_byte_bpe": bpe.op7_byte_bpe, "op9_best_fit_packing": packing.op9_best_fit_packing, "op8_quality_rules": quality_rules.op8_quality_rules, "op5_substring_dedup": substring_dedup.op5_substring_dedup}
+    return {"op1_line_dedup": line_dedup.op1_line_dedup, "op7_byte_bpe": bpe.op7_byte_bpe, "op9_best_fit_packing": packing.op9_best_fit_packing, "op8_quality_rules": quality_rules.op8_quality_rules, "op5_substring_dedup": substring_dedup.op5_substring_dedup, "op10_license_scan": license_scan.op10_license_scan}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op5_substring_dedup": substring_dedup.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op5_substring_dedup": substring_dedup.SQL, "op10_license_scan": license_scan.SQL}
