@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmark.llm import bpe, license_scan, line_dedup, packing, quality_rules, substring_dedup
+from leafmark.llm import bpe, html_extract, license_scan, line_dedup, packing, quality_rules, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": line_dedup.op1_line_dedup, "op7_byte_bpe": bpe.op7_byte_bpe, "op9_best_fit_packing": packing.op9_best_fit_packing, "op8_quality_rules": quality_rules.op8_quality_rules, "op5_substring_dedup": substring_dedup.op5_substring_dedup, "op10_license_scan": license_scan.op10_license_scan}
+    return {"op1_line_dedup": line_dedup.op1_line_dedup, "op7_byte_bpe": bpe.op7_byte_bpe, "op9_best_fit_packing": packing.op9_best_fit_packing, "op8_quality_rules": quality_rules.op8_quality_rules, "op5_substring_dedup": substring_dedup.op5_substring_dedup, "op10_license_scan": license_scan.op10_license_scan, "op4_toxicity": toxicity.op4_toxicity, "op2_html_extract": html_extract.op2_html_extract}
 
 
 def oracle_sql() -> dict[str, str]:
