@@ -4,14 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmark.llm import bpe, html_extract, license_scan, line_dedup, packing, quality_rules, substring_dedup, toxicity
+from leafmark.llm import bpe, html_extract, license_scan, line_dedup, minhash, packing, quality_rules, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": line_dedup.op1_line_dedup, "op7_byte_bpe": bpe.op7_byte_bpe, "op9_best_fit_packing": packing.op9_best_fit_packing, "op8_quality_rules": quality_rules.op8_quality_rules, "op5_substring_dedup": substring_dedup.op5_substring_dedup, "op10_license_scan": license_scan.op10_license_scan, "op4_toxicity": toxicity.op4_toxicity, "op2_html_extract": html_extract.op2_html_extract}
+    return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_html_extract": html_extract.op2_html_extract,
+        "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
+        "op4_toxicity": toxicity.op4_toxicity,
+        "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+        "op7_byte_bpe": bpe.op7_byte_bpe,
+        "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op9_best_fit_packing": packing.op9_best_fit_packing,
+        "op10_license_scan": license_scan.op10_license_scan,
+        "pipeline": corpus_pipeline.run,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op5_substring_dedup": substring_dedup.SQL, "op10_license_scan": license_scan.SQL}
+    sql = {"op1_line_dedup": line_dedup.SQL, "op5_substring_dedup": substring_dedup.SQL, "op10_license_scan": license_scan.SQL}
+    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
