@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmark.llm import bpe, html_extract, license_scan, line_dedup, minhash, packing, quality_rules, substring_dedup, toxicity
+from leafmark.llm import ann, bpe, html_extract, license_scan, line_dedup, minhash, packing, quality_rules, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+        "op6_multiprobe_ann": ann.op6_multiprobe_ann,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
