@@ -1,7 +1,7 @@
 """MinHash near-dedup (3): improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 A text's shingles are its windows of five words (a shorter text is one shingle). A shingle weighs
-(1 + ln tf) * (1 + ln((N + 1) / (df + 1)) / ln(N + 1)); its df is counted over all documents in 65,536 hashed counters, so
+(1 + ln tf) * (1 + ln((N + 1) / (df + 1)) / (4 ln(N + 2))); its df is counted over all documents in 65,536 hashed counters, so
 the table of weights has a fixed size. Improved consistent weighted sampling (Ioffe 2010) draws `2 * bands`
 samples from each text, equal for two texts with the probability of their weighted Jaccard similarity; two samples are
 a band. Texts with an equal band are candidates, and a pair is a link if its weighted Jaccard similarity,
@@ -9,8 +9,9 @@ from the full shingle sets, is at least `threshold`. At 0.8, ten bands of two mi
 probability (1 - 0.64) ** 10 = 4e-5. Classes are connected components over links, named by their smallest id.
 
 No pairs within a group: texts equal in their words are one node from the start. In a bucket, each text is verified against
-the bucket's smallest one. Buckets whose texts are then still in several components get another round: each of their texts
-is verified against the one in each other component whose samples agree with its own the most.
+the bucket's smallest one, which already joins most. Buckets whose texts are then still in several components are
+finished exactly: their texts outside the largest component are held against all of the bucket, in blocks that are
+spread over tasks, and only links that join two components come out. Pairs that share a component are never looked at.
 
 Skew: copies never reach the buckets; a bucket's smallest id is found by a partial aggregation, and the joins back to
 its members are joins that Spark can split. Joins carry 32 bits for each shingle and only texts that are in a pair.
@@ -34,8 +35,9 @@ from leafmark.llm.components import components
 from leafmark.llm.words import Words, mix
 
 SHINGLE, THRESHOLD, BANDS = 5, 0.8, 10
+IDF_SHARE = 0.25  # a shingle of one document weighs so much more than one that all have
 COUNTERS = 1 << 16
-AGREE = 0.4  # of the samples, for a second look
+BLOCK = 768  # texts of a bucket that one task holds against as many
 STEP = 3 << 20
 _TABLES: dict[int, tuple] = {}
 
@@ -111,7 +113,7 @@ def shingle_weights(rows: DataFrame) -> np.ndarray:
     n = np.zeros(COUNTERS + 1)
     n[found["counter"].to_numpy()] = found["n"].to_numpy()  # -1 is the last: documents
     docs = n[-1]
-    return (1 + np.log((docs + 1) / (np.minimum(n[:-1], docs) + 1)) / np.log(docs + 2)).astype(np.float32)
+    return (1 + IDF_SHARE * np.log((docs + 1) / (np.minimum(n[:-1], docs) + 1)) / np.log(docs + 2)).astype(np.float32)
 
 
 def _signed(idf: np.ndarray, n: int):
@@ -163,29 +165,55 @@ def _verified(idf: np.ndarray, threshold: float):
     return run
 
 
-def _across(n: int):
-    """Of one bucket: each text with the likeliest partner in every other component."""
+def _joined(idf: np.ndarray, threshold: float):
+    """Of a block of a bucket: links from texts that aren't in its largest component to texts of other components, one
+    for each two components that it joins. Exact: each similarity is computed from the full sets."""
 
-    def run(group: pa.Table) -> pa.Table:
-        ids, comps = group.column("id").to_numpy(), group.column("component").to_numpy()
-        drawn = np.frombuffer(b"".join(group.column("drawn").to_pylist()), np.uint32).reshape(len(ids), n)
-        order = np.lexsort((ids, comps))
-        ids, comps, drawn = ids[order], comps[order], drawn[order]
-        first = np.flatnonzero(np.append(True, comps[1:] != comps[:-1]))
-        of = np.cumsum(np.append(False, comps[1:] != comps[:-1]))
+    def run(asking: pa.Table, others: pa.Table) -> pa.Table:
         a, b = [], []
-        for i in range(len(ids)):
-            agree = (drawn == drawn[i]).sum(axis=1)
-            best = np.maximum.reduceat(agree, first)
-            for c in np.flatnonzero(best >= AGREE * n):
-                if c > of[i]:
-                    end = first[c + 1] if c + 1 < len(first) else len(ids)
-                    a.append(ids[i]), b.append(ids[first[c] + int(np.argmax(agree[first[c] : end]))])
+        if len(asking) and len(others):
+            u_ids, u_of, u_sets = _unpacked(asking, idf)
+            v_ids, v_of, v_sets = _unpacked(others, idf, "2")
+            known = np.unique(np.concatenate([low for low, _ in u_sets]))
+            owner = np.repeat(np.arange(len(v_sets)), [len(low) for low, _ in v_sets])
+            low, weight = np.concatenate([x for x, _ in v_sets]), np.concatenate([w for _, w in v_sets])
+            total = np.bincount(owner, weight, len(v_sets))
+            at = np.minimum(np.searchsorted(known, low), len(known) - 1)
+            same = known[at] == low
+            owner, at, weight = owner[same], at[same], weight[same]
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while parent.setdefault(x, x) != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            mine = np.zeros(len(known))
+            for i, (low, w) in enumerate(u_sets):
+                where = np.searchsorted(known, low)
+                mine[where] = w
+                inter = np.bincount(owner, np.minimum(mine[at], weight), len(v_sets))
+                mine[where] = 0
+                hit = np.flatnonzero((inter >= threshold * (w.sum() + total - inter)) & (v_of != u_of[i]))
+                for j in hit[np.unique(v_of[hit], return_index=True)[1]]:
+                    x, y = root(int(u_of[i])), root(int(v_of[j]))
+                    if x != y:
+                        parent[x] = y
+                        a.append(u_ids[i]), b.append(v_ids[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
+def _unpacked(t: pa.Table, idf: np.ndarray, end: str = "") -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    sets = []
+    for low, tf in zip(t.column(f"low{end}").to_pylist(), t.column(f"tf{end}").to_pylist(), strict=True):
+        x = np.frombuffer(low, np.uint32)
+        w = idf[x & (COUNTERS - 1)].astype(float)
+        sets.append((x, w * (1 + np.log(np.frombuffer(tf, np.uint32))) if tf else w))
+    return t.column(f"id{end}").to_numpy(), t.column(f"component{end}").to_numpy(), sets
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
     """(id, class_id): a row for each id; ids without near duplicates are their own class."""
     common.small_batches(docs.sparkSession)
@@ -201,22 +229,25 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     leaders = common.cut(in_band.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("band", "leader"))
     members = common.written(in_band.join(leaders, "band"), "bands")
 
-    def links(pairs: DataFrame) -> DataFrame:
-        pairs = common.cut(pairs)
-        ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = common.written(rows.join(ends, "id", "left_semi").mapInArrow(_sets, "id long, low binary, tf binary"), "shingles")
-        full = pairs.join(sets.select(F.col("id").alias("b"), F.col("low").alias("low_b"), F.col("tf").alias("tf_b")), "b")
-        full = full.join(sets.select(F.col("id").alias("a"), F.col("low").alias("low_a"), F.col("tf").alias("tf_a")), "a")
-        return common.cut(full.mapInArrow(_verified(idf, threshold), "a long, b long"))
-
-    found = links(members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
+    pairs = common.cut(members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = common.written(rows.join(ends, "id", "left_semi").mapInArrow(_sets, "id long, low binary, tf binary").filter("length(low) > 0"), "shingles")
+    full = pairs.join(sets.select(F.col("id").alias("b"), F.col("low").alias("low_b"), F.col("tf").alias("tf_b")), "b")
+    full = full.join(sets.select(F.col("id").alias("a"), F.col("low").alias("low_a"), F.col("tf").alias("tf_a")), "a")
+    found = common.cut(full.mapInArrow(_verified(idf, threshold), "a long, b long"))
+    # buckets that are still in several components; a pair in a bucket has been verified by now
     classes = common.cut(components(found, "a", "b"))
-    known = members.join(classes, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = known.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).filter("x <> y AND n > 2").select("band")
-    open_ = known.join(mixed, "band").select("band", "id", "component", "drawn")
-    more = common.cut(open_.groupBy("band").applyInArrow(_across(n), "a long, b long").distinct().select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if not more.isEmpty():
-        found = found.unionByName(links(more.join(found, ["a", "b"], "left_anti")))
+    known = members.select("band", "id").join(classes, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    parts = known.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("largest"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    mixed = common.cut(parts.filter("n > most AND n > 2").select("band", "largest", blocks(F.col("n") - F.col("most")).alias("nu"), blocks(F.col("n")).alias("nv")))
+    inside = known.join(mixed, "band").join(sets, "id")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = inside.filter("component <> largest").select("band", block("nu").alias("ub"), each("nv").alias("vb"), "id", "component", "low", "tf")
+    others = inside.select(each("nu").alias("ub2"), block("nv").alias("vb2"), *[F.col(c).alias(f"{c}2") for c in ("band", "id", "component", "low", "tf")])
+    more = asking.groupBy("band", "ub", "vb").cogroup(others.groupBy("band2", "ub2", "vb2")).applyInArrow(_joined(idf, threshold), "a long, b long")
+    found = found.unionByName(common.cut(more))
     edges = found.unionByName(copies.select(F.col("node").alias("a"), F.col("id").alias("b")))
     classes = components(edges, "a", "b")
     return rows.select("id").distinct().join(classes, "id", "left").select("id", F.coalesce("component", "id").alias("class_id"))
