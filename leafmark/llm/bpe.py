@@ -222,11 +222,11 @@ class Utf8Stream:
         if not final:
             for back in range(1, min(3, end) + 1):
                 lead = data[end - back]
-                if lead >= 0xC0:
+                if 0xC2 <= lead <= 0xF4:
                     if (2 if lead < 0xE0 else 3 if lead < 0xF0 else 4) > back:
                         end -= back
                     break
-                if lead < 0x80:
+                if lead < 0x80 or lead >= 0xC0:
                     break
         self.open = data[end:]
         return data[:end].decode("utf-8", "replace")
