@@ -1,7 +1,7 @@
 """Toxicity (4): a factorization machine over hashed terms.
 
-A text's terms are its words, in lower case and without marks at the ends, and the words' first four and five
-letters (stems); each is hashed to one of 2**20 numbers. The score is sigmoid(w0 + sum w_i + sum over pairs
+A text's terms are its words, in lower case and without marks at the ends, and the words' first four to seven
+letters (stems); each is hashed to one of 2**22 numbers. The score is sigmoid(w0 + sum w_i + sum over pairs
 <v_i, v_j>), over the terms in the text: pairs such as an insult with the mention of a group have a weight of
 their own, which a sum of weights alone can't give them.
 
@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 
 from leafmark.llm import common
 
-MOST_TRAINING_DOCS, MOST_TERMS, FACTORS = 6000, 2000, 4
+MOST_TRAINING_DOCS, MOST_TERMS, FACTORS = 4000, 1000, 4
 MARKS = ".,;:!?\"'()[]{}<>*#%&$|-_…«»„“”"
-_MASK = (1 << 20) - 1
+_MASK = (1 << 22) - 1
+#: Letters of a word's beginnings that are terms of their own.
+STEMS = (4, 5, 6, 7)
 
 
 def word_terms(word: str) -> tuple[int, ...]:
@@ -37,7 +39,7 @@ def word_terms(word: str) -> tuple[int, ...]:
     if not word:
         return ()
     terms = {zlib.crc32(b"w" + word.encode()) & _MASK}
-    for n in (4, 5):
+    for n in STEMS:
         if len(word) >= n:
             terms.add(zlib.crc32(b"%d" % n + word[:n].encode()) & _MASK)
     return tuple(terms)
@@ -76,28 +78,30 @@ class FactorizationMachine:
         self.squares = (v**2).sum(axis=1)
 
     @classmethod
-    def trained(cls, texts: list[str | None], labels: list[int], share: float, most_terms: int = MOST_TERMS, factors: int = FACTORS, rounds: int = 150, decay: float = 1e-4) -> FactorizationMachine:
+    def trained(cls, texts: list[str | None], labels: list[int], share: float, most_terms: int = MOST_TERMS, factors: int = FACTORS, rounds: int = 200, decay: float = 3e-5) -> FactorizationMachine:
         """share: of label 1 among all rows that could have been drawn; moves the intercept."""
         y = np.array(labels, float)
         none = cls(np.zeros(0, np.int64), float(np.log((share + 1e-6) / (1 - share + 1e-6))), np.zeros(0), np.zeros((0, factors)))
         if len(set(labels)) < 2:
             return none
-        of = Terms()
-        rows = [of(t) for t in texts]
-        ids, at, n = np.unique(np.fromiter((t for r in rows for t in r), np.int64), return_inverse=True, return_counts=True)
-        doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        positive = np.bincount(at, y[doc], len(ids))
+        of = Terms(most=50_000)
+        rows = [np.fromiter(of(t), np.int32) for t in texts]  # sets of numbers would take the driver's memory
+        n, positive = np.zeros(_MASK + 1, np.float32), np.zeros(_MASK + 1, np.float32)
+        for r, label in zip(rows, y, strict=True):
+            n[r] += 1
+            positive[r] += label
         a, b = (positive + 0.5) / (y.sum() + 1), (n - positive + 0.5) / (len(y) - y.sum() + 1)
-        gain = np.where(n >= 3, np.abs(np.log(a / b)) * np.sqrt(n), 0)
+        gain = np.where(n >= max(3, 0.005 * len(y)), np.abs(np.log(a / b)) * np.sqrt(n), 0)
         best = np.argsort(-gain, kind="stable")[:most_terms]
         best = np.sort(best[gain[best] > 0])
         if not len(best):
             return none
-        column = np.full(len(ids), -1)
+        column = np.full(_MASK + 1, -1, np.int32)
         column[best] = np.arange(len(best))
         x = np.zeros((len(rows), len(best)), np.float32)
-        keep = column[at] >= 0
-        x[doc[keep], column[at[keep]]] = 1
+        for i, r in enumerate(rows):
+            c = column[r]
+            x[i, c[c >= 0]] = 1
         rng = np.random.default_rng(7)
         theta = [np.zeros(1), np.zeros(len(best)), rng.normal(0, 0.01, (len(best), factors))]
         m, s = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
@@ -110,10 +114,10 @@ class FactorizationMachine:
             grads = [np.array([e.sum()]), xe + decay * w, x.T @ (e[:, None] * xv).astype(np.float32) - xe[:, None] * v + 10 * decay * v]
             for k, g in enumerate(grads):
                 m[k], s[k] = 0.9 * m[k] + 0.1 * g, 0.99 * s[k] + 0.01 * g**2
-                theta[k] = theta[k] - 0.05 * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
+                theta[k] = theta[k] - 0.1 * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
         drawn = y.mean()
         shift = np.log(max(share, 1e-6) / max(1 - share, 1e-6)) - np.log(drawn / (1 - drawn))
-        return cls(ids[best], float(theta[0][0] + shift), theta[1], theta[2])
+        return cls(best, float(theta[0][0] + shift), theta[1], theta[2])
 
     def score(self, terms: set[int]) -> float:
         z = self.w0
