@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 from dataclasses import dataclass
 from pathlib import Path
@@ -26,9 +27,9 @@ TARGETS = {
     t.id: t
     for t in (
         Target("claude-skill", "Claude skill", "skill-", "references", _ASK + "Write a skill from these files. SKILL.md opens with a header of name and description, then says when to use it and which file answers what."),
-        Target("custom-gpt", "Custom GPT", "gpt-", "knowledge", _ASK + 'Write the instructions of an assistant that answers from these knowledge files, four conversation starters, and settings as JSON: {{"name": "...", "instructions": "..."}}.'),
+        Target("chatgpt-gpt", "Custom GPT", "gpt-", "knowledge", _ASK + 'Write the instructions of an assistant that answers from these knowledge files, four conversation starters, and settings as JSON: {{"name": "...", "instructions": "..."}}.'),
         Target("cursor-rules", "Cursor rules", "cursor-", "docs", _ASK + "Write a rules file for an editor: what of these documents a programmer must follow, and where each rule comes from."),
-        Target("gemini-gem", "Gemini gem", "gemini-", "references", _ASK + "Write the instructions of a gem that works from these references: its role, its tasks, its limits and its tone."),
+        Target("gemini-cli", "Gemini CLI extension", "gemini-", "references", _ASK + "Write a command-line extension that works from these references: its manifest, its context file with role, tasks and limits, and when to open which file."),
     )
 }
 
@@ -57,10 +58,8 @@ def prompts(entries: DataFrame, name: str, description: str, out_root: str = "."
 
 def slug_of(name: str) -> str:
     """package_slug for one name on the driver."""
-    import re
-
-    s = re.sub(r"[^\w\s-]", "", name.lower().strip())
-    return re.sub(r"-+", "-", re.sub(r"[\s_]+", "-", s)).strip("-") or "skill"
+    words = re.split(r"[\s_-]+", re.sub(r"[^\w\s-]", "", name.lower()))
+    return "-".join(filter(None, words)) or "skill"
 
 
 def build_package(target_id: str, name: str, description: str, source_files: list[Path], output_root: Path) -> Path:

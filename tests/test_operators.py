@@ -99,6 +99,6 @@ def test_package(spark, tmp_path):
     m = export.manifest(files, F.lit("My Notes!"))
     assert m.count() == 8
     p = {r.target: r.prompt for r in export.prompts(m, "My Notes!", "about").collect()}
-    assert '{"name"' in p["custom-gpt"] and "- `./gpt-my-notes/knowledge/b.md`" in p["custom-gpt"]
+    assert '{"name"' in p["chatgpt-gpt"] and "- `./gpt-my-notes/knowledge/b.md`" in p["chatgpt-gpt"]
     assert export.slug_of("  __Hello, World!__ ") == "hello-world"
     assert T.package_slug is not None

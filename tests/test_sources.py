@@ -88,9 +88,9 @@ def test_health():
 def test_command_line(tmp_path, capsys):
     assert cli.main(["package", "--list"]) == 0 and "cursor-rules" in capsys.readouterr().out
     (tmp_path / "a.md").write_text("x")
-    assert cli.main(["package", str(tmp_path / "a.md"), "--target", "custom-gpt", "--out", str(tmp_path)]) == 0
+    assert cli.main(["package", str(tmp_path / "a.md"), "--target", "chatgpt-gpt", "--out", str(tmp_path)]) == 0
     assert (tmp_path / "gpt-untitled/PROMPT.md").exists()
-    assert cli.main(["package", "--target", "custom-gpt", "--out", str(tmp_path)]) == 1
+    assert cli.main(["package", "--target", "chatgpt-gpt", "--out", str(tmp_path)]) == 1
     assert cli.main(["extract", str(tmp_path / "none")]) == 1
 
 
