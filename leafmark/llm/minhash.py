@@ -37,7 +37,7 @@ from leafmark.llm.words import Words, mix
 SHINGLE, THRESHOLD, BANDS = 5, 0.8, 10
 IDF_SHARE = 0.25  # a shingle of one document weighs so much more than one that all have
 COUNTERS = 1 << 16
-BLOCK = 768  # texts of a bucket that one task holds against as many
+BLOCK = 384  # texts of a bucket that one task holds against as many
 STEP = 3 << 20
 _TABLES: dict[int, tuple] = {}
 
