@@ -8,23 +8,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leafmark.functions import text as T
-from leafmark.functions.vocabulary import common_words, corrections
+from leafmark.functions.vocabulary import CONFUSIONS, common_words, corrections
 
 MARKS = ".,;:!?\"'()-"
 
 
 def correct_misread_words(c: Column | str, words: Iterable[str] | None = None) -> Column:
+    """The text is cut before each token that holds a confusion at all (few do); of each piece only the first token is
+    looked up, what follows it passes whole."""
     fixes = corrections(common_words() if words is None else frozenset(words))
     keys = sorted(fixes)
     table = F.create_map(*[F.lit(x) for k in keys for x in (k, fixes[k])])
 
-    def fix(token: Column) -> Column:
+    def fix(piece: Column) -> Column:
+        token = F.regexp_extract(piece, f"\\A({T.INK}*)", 1)
         clean = F.btrim(F.lower(token), F.lit(MARKS))
         meant = table[clean]
         upper = (token == F.upper(token)) & (token != F.lower(token))
         first = F.substring(token, 1, 1)
         capital = (first == F.upper(first)) & (first != F.lower(first))
         cased = F.when(upper, F.upper(meant)).when(capital, F.concat(F.upper(F.substring(meant, 1, 1)), F.substr(meant, F.lit(2)))).otherwise(meant)
-        return F.when(clean.isin(keys) & token.rlike(r"^\p{L}"), F.concat(cased, F.substr(token, F.length(clean) + 1))).otherwise(token)
+        return F.when(clean.isin(keys) & token.rlike(r"^\p{L}"), F.concat(cased, F.substr(piece, F.length(clean) + 1))).otherwise(piece)
 
-    return F.array_join(F.transform(F.regexp_extract_all(T.text_of(c), F.lit(f"([{T.WS}]+|[^{T.WS}]+)"), F.lit(1)), fix), "")
+    seen = "|".join(seen for seen, _ in CONFUSIONS)
+    pieces = F.split(T.text_of(c), f"(?:(?<={T.SPACE})|\\A)(?={T.INK}*?(?i:{seen}))")
+    return F.array_join(F.transform(pieces, fix), "")

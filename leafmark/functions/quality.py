@@ -1,6 +1,6 @@
 """The text-quality score: common words, token length, garbage and size, as native columns.
 
-`with_quality` takes two projections, tokens first, so that the text is split once.
+`with_quality` takes several projections, tokens first, so that nothing is split or counted twice.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ def with_quality(df: DataFrame, text_col: str, out: str, words: Iterable[str] |
     """df with a struct of the score and its parts. words: another vocabulary than the default."""
     known = sorted(common_words() if words is None else words)
     text = T.text_of(text_col)
-    df = df.withColumn("__tokens", T.tokens(text)).withColumn("__alpha", T.alpha_tokens(F.col("__tokens")))
-    n, m = F.size("__tokens"), F.size("__alpha")
+    df = df.withColumn("__n", F.size(T.tokens(text))).withColumn("__alpha", T.alpha_tokens(text))
+    n, m = F.col("__n"), F.size("__alpha")
     ratio = F.size(F.filter("__alpha", lambda x: x.isin(known))) / m
     garbage = (F.length(text) - F.length(T.strip_garbage(text))) / F.greatest(F.length(text), F.lit(1))
     length = F.length(F.array_join("__alpha", "")) / m
@@ -44,7 +44,7 @@ def with_quality(df: DataFrame, text_col: str, out: str, words: Iterable[str] |
     score = F.when((r < 0.15) & (a < 3.0) & (n > 30), score * 0.1).otherwise(score)
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))
     quality = F.when(n == 0, unreadable(0, "empty")).when(m == 0, unreadable(n, "no alpha tokens")).otherwise(_quality(score, n, r, g, a, F.lit("")))
-    return df.withColumn(out, quality).drop("__tokens", "__alpha", "__r", "__g", "__l")
+    return df.withColumn(out, quality).drop("__n", "__alpha", "__r", "__g", "__l")
 
 
 def grade(score: Column) -> Column:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 #: What Python's str.split and str.strip take as white space, as the inside of a character class.
 WS = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: The same class and its complement for Java, which tests members one after another: the common case is decided first.
+SPACE = rf"[\x{{0}}-\x{{20}}\x{{85}}-\x{{3000}}&&[{WS}]]"
+INK = rf"[\x{{21}}-\x{{84}}[^{WS}]]"
 GARBAGE = r"[\x{E000}-\x{F8FF}\x{FFF0}-\x{FFFF}]"
 
 #: Private-use and Unicode ligatures, controls and marks.
@@ -59,7 +62,7 @@ def text_of(c: Column | str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A[{WS}]+|[{WS}]+\z", "")
+    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
 
 
 def normalize_encoding(c: Column | str) -> Column:
@@ -76,12 +79,14 @@ def strip_garbage(c: Column | str) -> Column:
 
 
 def tokens(c: Column | str) -> Column:
-    return F.filter(F.split(text_of(c), f"[{WS}]+"), lambda x: x != "")
+    return F.filter(F.split(text_of(c), f"{SPACE}+"), lambda x: x != "")
 
 
-def alpha_tokens(t: Column) -> Column:
-    """ASCII letters of tokens, in lower case."""
-    return F.filter(F.transform(t, lambda x: F.lower(F.regexp_replace(x, "[^a-zA-Z]", ""))), lambda x: x != "")
+def alpha_tokens(c: Column | str) -> Column:
+    """ASCII letters of the tokens of a text, in lower case. One replacement over the text, not one for each token."""
+    other = rf"(?:(?![a-zA-Z\x{{9}}-\x{{d}}\x{{1c}}-\x{{20}}])(?!{SPACE})(?s:.))+"
+    letters = F.lower(F.regexp_replace(text_of(c), other, ""))
+    return F.filter(F.split(letters, f"{SPACE}+"), lambda x: x != "")
 
 
 def collapse_blank_lines(c: Column) -> Column:

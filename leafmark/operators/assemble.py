@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +13,13 @@ from leafmark.operators.arbitrate import RULES, Rules, arbitrate
 from leafmark.operators.boilerplate import with_running_lines
 
 
-def page_chunks(judged: DataFrame, rules: Rules = RULES) -> DataFrame:
+def page_chunks(judged: DataFrame, rules: Rules = RULES, keep: bool = True) -> DataFrame:
     """(doc, page_num, method, score, ocr_error, status, chunk) of arbitrated pages. status: extracted, skipped, or empty
-    (nothing left after cleaning: skipped without a chunk)."""
+    (nothing left after cleaning: skipped without a chunk).
+
+    Judged pages are read twice, for running lines and for the chunks. keep: they are kept on the executors' disks in
+    between, so that scoring runs once (a lost executor's pages are scored again); spark.catalog.clearCache() frees them."""
+    judged = judged.persist(StorageLevel.DISK_ONLY) if keep else judged
     df = with_running_lines(judged, rules)
     out = (F.col("method") == "none") | (F.col("score.score") < rules.least_score)
     clean = T.drop_lines(F.col("text"), F.col("boilerplate"))
@@ -80,9 +85,9 @@ def reason() -> Column:
     )
 
 
-def extract(pages: DataFrame, rules: Rules = RULES) -> DataFrame:
-    """Documents of pages (doc, page_num, text_raw, ocr_raw, ocr_error)."""
-    return documents(page_chunks(arbitrate(pages, rules), rules))
+def extract(pages: DataFrame, rules: Rules = RULES, keep: bool = True) -> DataFrame:
+    """Documents of pages (doc, page_num, text_raw, ocr_raw, ocr_error). keep: see page_chunks."""
+    return documents(page_chunks(arbitrate(pages, rules), rules, keep))
 
 
 def chapters(items: DataFrame, least_words: int = 10) -> DataFrame:

@@ -24,4 +24,4 @@ def judged_pages(pages: DataFrame, rules: Rules = RULES) -> DataFrame:
 def documents(pages: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, rules: Rules = RULES) -> StreamingQuery:
     """Documents of each micro-batch. Running lines need all of a document's pages, so a batch must hold whole documents (as it does
     when a file is the unit of input)."""
-    return pages.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, n: sink(extract(df, rules), n)).start()
+    return pages.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, n: sink(extract(df, rules, keep=False), n)).start()
