@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from leafmark.llm import common
 
-MOST_TRAINING_DOCS, MOST_TERMS, FACTORS = 4000, 1000, 4
+MOST_TRAINING_DOCS, MOST_TERMS, FACTORS = 4000, 300, 4
 MARKS = ".,;:!?\"'()[]{}<>*#%&$|-_…«»„“”"
 _MASK = (1 << 22) - 1
 #: Letters of a word's beginnings that are terms of their own.
@@ -91,7 +91,7 @@ class FactorizationMachine:
             n[r] += 1
             positive[r] += label
         a, b = (positive + 0.5) / (y.sum() + 1), (n - positive + 0.5) / (len(y) - y.sum() + 1)
-        gain = np.where(n >= max(3, 0.005 * len(y)), np.abs(np.log(a / b)) * np.sqrt(n), 0)
+        gain = np.where(n >= max(4, 0.005 * len(y)), np.abs(np.log(a / b)) * np.sqrt(n), 0)
         best = np.argsort(-gain, kind="stable")[:most_terms]
         best = np.sort(best[gain[best] > 0])
         if not len(best):
