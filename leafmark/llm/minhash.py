@@ -1,8 +1,9 @@
 """MinHash near-dedup (3): improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 A text's shingles are its windows of five words (a shorter text is one shingle). A shingle weighs
-(1 + ln tf) * (1 + ln((N + 1) / (df + 1)) / (4 ln(N + 2))); its df is counted over all documents in 65,536 hashed counters, so
-the table of weights has a fixed size. Improved consistent weighted sampling (Ioffe 2010) draws `2 * bands`
+(1 + ln tf) * (1 + ln((N + 1) / (df + 1)) / (4 ln(N + 2))). Its df is counted exactly over all documents, by its 64-bit hash:
+the hashes of a step of texts are dealt by their top bits to PARTS groups that count them, and what comes back to each text
+are its shingles that other texts have too; the rest have a df of 1. No table of shingles goes to the driver or to all tasks. Improved consistent weighted sampling (Ioffe 2010) draws `2 * bands`
 samples from each text, equal for two texts with the probability of their weighted Jaccard similarity; two samples are
 a band. Texts with an equal band are candidates, and a pair is a link if its weighted Jaccard similarity,
 from the full shingle sets, is at least `threshold`. At 0.8, ten bands of two miss a link with
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +38,8 @@ from leafmark.llm.words import Words, mix
 
 SHINGLE, THRESHOLD, BANDS = 5, 0.8, 10
 IDF_SHARE = 0.25  # a shingle of one document weighs so much more than one that all have
-COUNTERS = 1 << 16
+DRAWS = 1 << 16
+PARTS = 1 << 10  # groups in which shingles are counted; each holds so small a part of all shingles at once
 BLOCK = 384  # texts of a bucket that one task holds against as many
 STEP = 3 << 20
 _TABLES: dict[int, tuple] = {}
@@ -46,8 +49,8 @@ def _tables(n: int) -> tuple[np.ndarray, ...]:
     """Draws for n samples, by 16 bits of a shingle's hash: r, 1/r, beta, ln c; and the multipliers that pick the bits."""
     if n not in _TABLES:
         rng = np.random.default_rng(20100910)
-        r, c = rng.gamma(2, 1, (n, COUNTERS)), rng.gamma(2, 1, (n, COUNTERS))
-        beta = rng.random((n, COUNTERS))
+        r, c = rng.gamma(2, 1, (n, DRAWS)), rng.gamma(2, 1, (n, DRAWS))
+        beta = rng.random((n, DRAWS))
         odd = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         _TABLES[n] = (*(x.astype(np.float32) for x in (r, 1 / r, beta, np.log(c))), odd)
     return _TABLES[n]
@@ -74,8 +77,25 @@ class Shingles:
         self.tf = np.diff(np.append(first, len(h)))
         self.counts = np.bincount(self.row, minlength=len(w.counts))
 
+    def df(self, known: pa.Array) -> np.ndarray:
+        """Of each shingle; known: for each text the packed (low, df) of its shingles that aren't its own alone."""
+        df = np.ones(len(self.low), np.uint32)
+        row, packed = [], []
+        for i, some in enumerate(known.to_pylist()):
+            for x in some or ():
+                packed.append(np.frombuffer(x, np.uint32).reshape(2, -1))
+                row.append(np.full(packed[-1].shape[1], i, np.uint64))
+        if packed:
+            low, n = np.concatenate(packed, 1)
+            key, first = np.unique(np.concatenate(row) << np.uint64(32) | low, return_index=True)
+            mine = self.row.astype(np.uint64) << np.uint64(32) | self.low
+            at = np.minimum(np.searchsorted(key, mine), len(key) - 1)
+            same = key[at] == mine
+            df[same] = n[first[at[same]]]
+        return df
+
     def weights(self, idf: np.ndarray) -> np.ndarray:
-        return ((1 + np.log(self.tf)) * idf[self.low & (COUNTERS - 1)]).astype(np.float32)
+        return ((1 + np.log(self.tf)) * idf).astype(np.float32)
 
 
 def samples(hashes: np.ndarray, weights: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
@@ -96,34 +116,114 @@ def samples(hashes: np.ndarray, weights: np.ndarray, counts: np.ndarray, n: int)
     return out
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = np.zeros(COUNTERS, np.int64)
-    docs = 0
-    for b in common.gathered(batches, STEP):
-        s = Shingles(b.column(b.schema.get_field_index("text")))
-        n += np.bincount(s.low & (COUNTERS - 1), minlength=COUNTERS)
-        docs += int((s.counts > 0).sum())
-    some = np.flatnonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(n[some], docs), pa.int64())], ["counter", "n"])
-
-
-def shingle_weights(rows: DataFrame) -> np.ndarray:
-    """IDF of each of the counters (a table of fixed size, so it may go to the driver)."""
-    found = rows.mapInArrow(_counted, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
-    n = np.zeros(COUNTERS + 1)
-    n[found["counter"].to_numpy()] = found["n"].to_numpy()  # -1 is the last: documents
-    docs = n[-1]
-    return (1 + IDF_SHARE * np.log((docs + 1) / (np.minimum(n[:-1], docs) + 1)) / np.log(docs + 2)).astype(np.float32)
+def idf_of(df: np.ndarray, docs: int) -> np.ndarray:
+    return (1 + IDF_SHARE * np.log((docs + 1) / (df + 1.0)) / np.log(docs + 2)).astype(np.float32)
 
 
-def _signed(idf: np.ndarray, n: int):
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of a step, a row for each part: hashes and the texts that have them; the first row has the texts' keys."""
+    for b in common.gathered(batches, STEP):
+        s = Shingles(b.column(b.schema.get_field_index("text")))
+        if not len(s.hash):
+            continue
+        part = (s.hash >> np.uint64(54)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        part, hashes = part[order], s.hash[order]
+        doc = s.row[order].astype(np.uint16 if len(s.counts) < 1 << 16 else np.uint32)
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        ends = np.append(first[1:], len(part))
+        keys = np.stack([b.column(b.schema.get_field_index(c)).to_numpy() for c in ("id", "tag")]).tobytes()
+        step = xxhash.xxh3_64_intdigest(keys + s.hash.tobytes()) >> 1
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(part[first], pa.int32()), pa.array(np.full(len(first), step), pa.int64()),
+                pa.array([hashes[x:z].tobytes() for x, z in zip(first, ends, strict=True)], pa.binary()),
+                pa.array([doc[x:z].tobytes() for x, z in zip(first, ends, strict=True)], pa.binary()),
+                pa.array([keys] + [None] * (len(first) - 1), pa.binary()), pa.array([int((s.counts > 0).sum())] + [0] * (len(first) - 1), pa.int64()),
+            ],
+            ["part", "step", "hash", "doc", "keys", "n"],
+        )
+
+
+def _counted(asked: pa.Table) -> pa.Table:
+    """Of a part: for each step, its shingles that more than one text has, with their df."""
+    hashes, docs = asked.column("hash").to_pylist(), asked.column("doc").to_pylist()
+    each = np.frombuffer(b"".join(hashes), np.uint64)
+    _, which, n = np.unique(each, return_inverse=True, return_counts=True)
+    df, at = n[which].astype(np.uint32), 0
+    low, found, owner = [], [], []
+    for h, d in zip(hashes, docs, strict=True):
+        end = at + len(h) // 8
+        more = df[at:end] > 1
+        low.append(each[at:end][more].astype(np.uint32).tobytes())
+        found.append(df[at:end][more].tobytes())
+        owner.append(np.frombuffer(d, f"u{8 * len(d) // len(h)}")[more].astype(np.uint32).tobytes())
+        at = end
+    out = pa.table({"step": asked.column("step"), "low": pa.array(low, pa.binary()), "df": pa.array(found, pa.binary()), "doc": pa.array(owner, pa.binary()), "keys": asked.column("keys"), "n": asked.column("n")})
+    return out.filter(pc.or_(pc.greater(pc.binary_length(out["low"]), 0), pc.is_valid(out["keys"])))
+
+
+def _answered(replies: pa.Table) -> pa.Table:
+    """Of a step: for each text the packed (low, df) of its shared shingles; and a row with the number of texts."""
+    ids, tags = np.frombuffer(next(x for x in replies.column("keys").to_pylist() if x is not None), np.int64).reshape(2, -1)
+    doc, low, df = (np.frombuffer(b"".join(replies.column(c).to_pylist()), np.uint32) for c in ("doc", "low", "df"))
+    key, first = np.unique(doc.astype(np.uint64) << np.uint64(32) | low, return_index=True)
+    doc, pairs = (key >> np.uint64(32)).astype(np.int64), np.stack([low[first], df[first]])
+    starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+    known = [pairs[:, x:z].tobytes() for x, z in zip(starts, np.append(starts, len(doc))[1:], strict=True)]
+    some = doc[starts]
+    return pa.table(
+        {
+            "id": pa.array([*ids[some].tolist(), None], pa.int64()), "tag": pa.array([*tags[some].tolist(), None], pa.int64()),
+            "known": pa.array([*known, None], pa.binary()), "n": pa.array([0] * len(some) + [sum(replies.column("n").to_pylist())], pa.int64()),
+        }
+    )
+
+
+def shared_shingles(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(id, tag, known) of the texts that share shingles with others; the number of texts that have any."""
+    asked = rows.select("id", common.tag("text").alias("tag"), "text").mapInArrow(_asked, "part int, step long, hash binary, doc binary, keys binary, n long")
+    replies = asked.groupBy("part").applyInArrow(_counted, "step long, low binary, df binary, doc binary, keys binary, n long")
+    found = common.written(replies.groupBy("step").applyInArrow(_answered, "id long, tag long, known binary, n long"), "shared-shingles")
+    return found.filter("known IS NOT NULL").select("id", "tag", "known"), found.agg(F.sum("n")).first()[0] or 0
+
+
+def _with_known(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    shared = shared.groupBy("id", "tag").agg(F.collect_set("known").alias("known"))
+    return rows.select("id", common.tag("text").alias("tag"), "text").join(shared, ["id", "tag"], "left").select("id", "text", "known")
+
+
+class Idf:
+    """IDF by the low bits of shingles, for tables whose shared shingles fit in memory."""
+
+    def __init__(self, low: np.ndarray, df: np.ndarray, docs: int) -> None:
+        order = np.lexsort((df, low))
+        self.low, self.df, self.docs = low[order], df[order], docs
+
+    def __getitem__(self, low: np.ndarray) -> np.ndarray:
+        df = np.ones(len(low), np.uint32)
+        at = np.searchsorted(self.low, low, "right") - 1
+        same = at >= 0
+        same[same] = self.low[at[same]] == low[same]
+        df[same] = self.df[at[same]]
+        return idf_of(df, self.docs)
+
+
+def shingle_weights(rows: DataFrame) -> Idf:
+    shared, docs = shared_shingles(rows)
+    packed = [np.frombuffer(r.known, np.uint32).reshape(2, -1) for r in shared.select("known").collect()]
+    low, df = np.concatenate([np.zeros((2, 0), np.uint32), *packed], 1)
+    return Idf(low, df, docs)
+
+
+def _signed(docs: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.gathered(batches, STEP):
             s = Shingles(b.column(b.schema.get_field_index("text")))
             some = np.flatnonzero(s.counts)
             if not len(some):
                 continue
-            drawn = samples(s.hash, s.weights(idf), s.counts[some], n)
+            drawn = samples(s.hash, s.weights(idf_of(s.df(b.column(b.schema.get_field_index("known"))), docs)), s.counts[some], n)
             bands = mix(drawn[:, ::2] + np.uint64(3) * mix(drawn[:, 1::2] + np.arange(n // 2, dtype=np.uint64))).view(np.int64)
             base = np.cumsum(s.words.counts) - s.words.counts
             digest = [xxhash.xxh3_128_digest(s.words.hash[base[i] : base[i] + s.words.counts[i]].tobytes()) for i in some]
@@ -138,42 +238,53 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingles(b.column(b.schema.get_field_index("text")))
         cuts = np.cumsum(s.counts)[:-1]
         low = [x.tobytes() for x in np.split(s.low, cuts)]
-        tf = [x.astype(np.uint32).tobytes() if (x > 1).any() else None for x in np.split(s.tf, cuts)]
-        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("id")), pa.array(low, pa.binary()), pa.array(tf, pa.binary())], ["id", "low", "tf"])
+        tf, df = ([x.astype(np.uint32).tobytes() if (x > 1).any() else None for x in np.split(c, cuts)] for c in (s.tf, s.df(b.column(b.schema.get_field_index("known")))))
+        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("id")), pa.array(low, pa.binary()), pa.array(tf, pa.binary()), pa.array(df, pa.binary())], ["id", "low", "tf", "df"])
 
 
-def similarity(low_a: bytes, tf_a: bytes | None, low_b: bytes, tf_b: bytes | None, idf: np.ndarray) -> float:
-    a, b = np.frombuffer(low_a, np.uint32), np.frombuffer(low_b, np.uint32)
-    wa, wb = idf[a & (COUNTERS - 1)].astype(float), idf[b & (COUNTERS - 1)].astype(float)
-    if tf_a:
-        wa = wa * (1 + np.log(np.frombuffer(tf_a, np.uint32)))
-    if tf_b:
-        wb = wb * (1 + np.log(np.frombuffer(tf_b, np.uint32)))
+def _weights(idf: np.ndarray, tf: bytes | None) -> np.ndarray:
+    return idf.astype(float) * (1 + np.log(np.frombuffer(tf, np.uint32))) if tf else idf.astype(float)
+
+
+def _idf(low: bytes, df: bytes | None, docs: int) -> np.ndarray:
+    return idf_of(np.frombuffer(df, np.uint32) if df else np.ones(len(low) // 4, np.uint32), docs)
+
+
+def _similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
     at = np.minimum(np.searchsorted(b, a), len(b) - 1)
     same = b[at] == a
     common_ = np.minimum(wa[same], wb[at[same]]).sum()
     return common_ / (wa.sum() + wb.sum() - common_)
 
 
-def _verified(idf: np.ndarray, threshold: float):
+def similarity(low_a: bytes, tf_a: bytes | None, low_b: bytes, tf_b: bytes | None, idf: Idf) -> float:
+    a, b = np.frombuffer(low_a, np.uint32), np.frombuffer(low_b, np.uint32)
+    return _similarity(a, _weights(idf[a], tf_a), b, _weights(idf[b], tf_b))
+
+
+def _verified(docs: int, threshold: float):
+    def close(low_a: bytes, tf_a: bytes | None, df_a: bytes | None, low_b: bytes, tf_b: bytes | None, df_b: bytes | None) -> bool:
+        a, b = np.frombuffer(low_a, np.uint32), np.frombuffer(low_b, np.uint32)
+        return _similarity(a, _weights(_idf(low_a, df_a, docs), tf_a), b, _weights(_idf(low_b, df_b, docs), tf_b)) >= threshold
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = [b.column(b.schema.get_field_index(x)).to_pylist() for x in ("low_a", "tf_a", "low_b", "tf_b")]
-            ok = [bool(p and r) and similarity(p, q, r, t, idf) >= threshold for p, q, r, t in zip(*c, strict=True)]
+            c = [b.column(b.schema.get_field_index(x)).to_pylist() for x in ("low_a", "tf_a", "df_a", "low_b", "tf_b", "df_b")]
+            ok = [bool(x[0] and x[3]) and close(*x) for x in zip(*c, strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def _joined(idf: np.ndarray, threshold: float):
+def _joined(docs: int, threshold: float):
     """Of a block of a bucket: links from texts that aren't in its largest component to texts of other components, one
     for each two components that it joins. Exact: each similarity is computed from the full sets."""
 
     def run(asking: pa.Table, others: pa.Table) -> pa.Table:
         a, b = [], []
         if len(asking) and len(others):
-            u_ids, u_of, u_sets = _unpacked(asking, idf)
-            v_ids, v_of, v_sets = _unpacked(others, idf, "2")
+            u_ids, u_of, u_sets = _unpacked(asking, docs)
+            v_ids, v_of, v_sets = _unpacked(others, docs, "2")
             known = np.unique(np.concatenate([low for low, _ in u_sets]))
             owner = np.repeat(np.arange(len(v_sets)), [len(low) for low, _ in v_sets])
             low, weight = np.concatenate([x for x, _ in v_sets]), np.concatenate([w for _, w in v_sets])
@@ -205,12 +316,9 @@ def _joined(idf: np.ndarray, threshold: float):
     return run
 
 
-def _unpacked(t: pa.Table, idf: np.ndarray, end: str = "") -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    sets = []
-    for low, tf in zip(t.column(f"low{end}").to_pylist(), t.column(f"tf{end}").to_pylist(), strict=True):
-        x = np.frombuffer(low, np.uint32)
-        w = idf[x & (COUNTERS - 1)].astype(float)
-        sets.append((x, w * (1 + np.log(np.frombuffer(tf, np.uint32))) if tf else w))
+def _unpacked(t: pa.Table, docs: int, end: str = "") -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    each = zip(*[t.column(f"{c}{end}").to_pylist() for c in ("low", "tf", "df")], strict=True)
+    sets = [(np.frombuffer(low, np.uint32), _weights(_idf(low, df, docs), tf)) for low, tf, df in each]
     return t.column(f"id{end}").to_numpy(), t.column(f"component{end}").to_numpy(), sets
 
 
@@ -219,8 +327,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     common.small_batches(docs.sparkSession)
     n = 2 * bands
     rows = docs.select(common.ident(id_col).alias("id"), F.col(text_col).alias("text"))
-    idf = shingle_weights(rows)
-    signed = common.written(rows.mapInArrow(_signed(idf, n), "id long, digest binary, drawn binary, bands array<long>"), "samples")
+    shared, n_docs = shared_shingles(rows)
+    signed = common.written(_with_known(rows, shared).mapInArrow(_signed(n_docs, n), "id long, digest binary, drawn binary, bands array<long>"), "samples")
     nodes = signed.groupBy("digest").agg(F.min("id").alias("node"))
     nodes = common.cut(nodes)
     copies = signed.select("id", "digest").join(nodes, "digest").filter("id <> node").select("id", "node")
@@ -231,10 +339,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     pairs = common.cut(members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = common.written(rows.join(ends, "id", "left_semi").mapInArrow(_sets, "id long, low binary, tf binary").filter("length(low) > 0"), "shingles")
-    full = pairs.join(sets.select(F.col("id").alias("b"), F.col("low").alias("low_b"), F.col("tf").alias("tf_b")), "b")
-    full = full.join(sets.select(F.col("id").alias("a"), F.col("low").alias("low_a"), F.col("tf").alias("tf_a")), "a")
-    found = common.cut(full.mapInArrow(_verified(idf, threshold), "a long, b long"))
+    sets = common.written(_with_known(rows.join(ends, "id", "left_semi"), shared).mapInArrow(_sets, "id long, low binary, tf binary, df binary").filter("length(low) > 0"), "shingles")
+    full = pairs.join(sets.select(F.col("id").alias("b"), F.col("low").alias("low_b"), F.col("tf").alias("tf_b"), F.col("df").alias("df_b")), "b")
+    full = full.join(sets.select(F.col("id").alias("a"), F.col("low").alias("low_a"), F.col("tf").alias("tf_a"), F.col("df").alias("df_a")), "a")
+    found = common.cut(full.mapInArrow(_verified(n_docs, threshold), "a long, b long"))
     # buckets that are still in several components; a pair in a bucket has been verified by now
     classes = common.cut(components(found, "a", "b"))
     known = members.select("band", "id").join(classes, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
@@ -244,9 +352,9 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     inside = known.join(mixed, "band").join(sets, "id")
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asking = inside.filter("component <> largest").select("band", block("nu").alias("ub"), each("nv").alias("vb"), "id", "component", "low", "tf")
-    others = inside.select(each("nu").alias("ub2"), block("nv").alias("vb2"), *[F.col(c).alias(f"{c}2") for c in ("band", "id", "component", "low", "tf")])
-    more = asking.groupBy("band", "ub", "vb").cogroup(others.groupBy("band2", "ub2", "vb2")).applyInArrow(_joined(idf, threshold), "a long, b long")
+    asking = inside.filter("component <> largest").select("band", block("nu").alias("ub"), each("nv").alias("vb"), "id", "component", "low", "tf", "df")
+    others = inside.select(each("nu").alias("ub2"), block("nv").alias("vb2"), *[F.col(c).alias(f"{c}2") for c in ("band", "id", "component", "low", "tf", "df")])
+    more = asking.groupBy("band", "ub", "vb").cogroup(others.groupBy("band2", "ub2", "vb2")).applyInArrow(_joined(n_docs, threshold), "a long, b long")
     found = found.unionByName(common.cut(more))
     edges = found.unionByName(copies.select(F.col("node").alias("a"), F.col("id").alias("b")))
     classes = components(edges, "a", "b")
