@@ -2,11 +2,15 @@
 
 Each template is a list of words with places, a label and a key phrase that must stand in full. One pass over
 the texts finds the words and keeps, for each row, those of the index's vocabulary with their places (the rows'
-own numbers make these a stable table). Over all documents, each vocabulary word gets an IDF. A file's
-`rare` words of highest IDF are looked up in the templates' postings; a posting (template, offset) at place p
-proposes that the template starts at p - offset; the other words' postings are intersected at that start. A start
-counts if the key phrase stands there in full and matched words hold at least `least` of the template's IDF.
-Base phrases are templates whose every word is key; all their places count, rare or not.
+own numbers make these a stable table). Over all documents, each vocabulary word gets an IDF. A template is looked
+up in a file by its rare word, the word of its key phrase with the highest IDF; only if the file has it, a posting
+(template, offset) at place p proposes that the template starts at p - offset, and the words' postings are intersected at that start.
+A start counts if the key phrase stands there in full and matched words hold at least LEAST of the template's IDF.
+As no start counts without the rare word, the lookup loses none, whatever else the file holds.
+Base phrases are templates whose every word is key; all their places count.
+
+The SQL still looks up the RARE words of highest IDF of a whole file instead, and so loses templates of files with
+more; where it doesn't, both agree.
 
 What is shuffled are single words of licences, by (row, template, start), so that a file full of licence words
 or a licence that every file has is spread like any other.
@@ -76,17 +80,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     df = rows.select(F.explode(F.array_distinct("hits.word")).alias("word")).groupBy("word").count()
     idf = {r["word"]: r["idf"] for r in df.select("word", (F.log((F.lit(n_docs) + 1.0) / (F.col("count") + 1.0)) + 1.0).alias("idf")).collect()}
     weights = spark.createDataFrame([(w, idf[w]) for w in sorted(idf)], "word string, idf double")
-    of = F.create_map(*[F.lit(x) for w in sorted(idf) for x in (w, idf[w])]) if idf else F.create_map(F.lit(""), F.lit(0.0))
-    ordered = F.array_sort(F.transform(F.array_distinct("hits.word"), lambda w: F.struct((-of[w]).alias("k"), w.alias("word"))))
-    hits = rows.filter(F.size("hits") > 0).select("row", "hits", F.slice(ordered, 1, RARE)["word"].alias("rare"))
-    hits = hits.select("row", "rare", F.explode("hits").alias("hit")).select("row", F.col("hit.at").alias("at"), F.col("hit.word").alias("word"), F.array_contains("rare", F.col("hit.word")).alias("is_rare"))
+    hits = rows.filter(F.size("hits") > 0).select("row", F.array_distinct("hits.word").alias("has"), F.explode("hits").alias("hit")).select("row", "has", F.col("hit.at").alias("at"), F.col("hit.word").alias("word"))
     weighed = index.join(F.broadcast(weights), "word", "left").fillna(0.0, ["idf"])
-    whole = weighed.groupBy("template").agg(F.sum("idf").alias("all_idf"), F.count_if("is_key").alias("all_keys"))
-    placed = hits.join(F.broadcast(weighed), "word").groupBy("row", "template", (F.col("at") - F.col("offset")).alias("start")).agg(
-        F.sum("idf").alias("idf"), F.count_if("is_key").alias("keys"), F.max("is_rare").alias("proposed"), F.first("label").alias("label"), F.first("is_base").alias("is_base")
+    whole = weighed.groupBy("template").agg(F.sum("idf").alias("all_idf"), F.count_if("is_key").alias("all_keys"), F.max_by("word", F.when(F.col("is_key"), F.struct("idf", "word"))).alias("rare"))
+    placed = hits.join(F.broadcast(weighed.join(whole.select("template", "rare"), "template")), "word").filter(F.expr("array_contains(has, rare)")).groupBy("row", "template", (F.col("at") - F.col("offset")).alias("start")).agg(
+        F.sum("idf").alias("idf"), F.count_if("is_key").alias("keys"), F.first("label").alias("label"), F.first("is_base").alias("is_base")
     )
     placed = placed.join(F.broadcast(whole), "template").withColumn("share", F.col("idf") / F.col("all_idf"))
-    placed = placed.filter((F.col("keys") == F.col("all_keys")) & (F.col("is_base") | (F.col("proposed") & (F.col("share") >= LEAST))))
+    placed = placed.filter((F.col("keys") == F.col("all_keys")) & (F.col("is_base") | (F.col("share") >= LEAST)))
     base = F.when(F.col("is_base"), F.col("start")).cast("long")
     by_row = placed.groupBy("row").agg(
         F.count(base).alias("n_base"), F.min(base).alias("first_word"), F.max(base).alias("last_word"), F.collect_set(F.when(F.col("is_base"), F.col("label"))).alias("b"),

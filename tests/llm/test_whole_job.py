@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from helpers import DATA
 
-from leafmark.llm import common, minhash
+from leafmark.llm import common, license_scan, minhash
 
 SF = f"{DATA}/sf0.01"
 
@@ -34,3 +34,13 @@ def test_df_of_repeated_rows_and_null_ids(spark):
     got = minhash._with_known(rows, shared).toPandas()
     df = minhash.Shingles(pa.array(got.text)).df(pa.array([None if k is None else list(k) for k in got.known], pa.list_(pa.binary())))
     assert docs == 5 and sorted(df.tolist()) == [1, 2, 2, 4, 4, 4, 4]
+
+
+def test_a_file_of_many_licences_has_all_of_them(spark):
+    texts = [t for t, _, _ in license_scan.TEMPLATES]
+    five = [texts[i] for i in (0, 4, 5, 11, 13)]
+    docs = spark.createDataFrame([(1, ". ".join(five)), (2, ". ".join(texts)), (3, "clause domain mozilla commons attribution " + texts[8]), (4, "clause domain mozilla commons"), (5, "apache plain words")], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    assert got[1].labels == "all-rights-reserved,apache,apache-2.0,cc-by,cc-by-nc,gpl,gpl-3.0,mpl"
+    assert set(got[2].labels.split(",")) == {x for _, _, x in license_scan.TEMPLATES} | {x for _, x in license_scan.BASE}
+    assert got[3].labels == "mit" and got[3].score == 1 and got[4].labels == got[5].labels == ""
