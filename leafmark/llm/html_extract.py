@@ -5,7 +5,9 @@ elements). Elements that are menus, headers, footers, sidebars, notices, adverts
 by tag, role, class or id, are cut off with all they hold. Each block passes points for its length and its commas
 to the element that holds its paragraph, half of them to the next one up; an element's points are discounted by the
 share of its text that is in links. The best element is the container (or the article or main element around it);
-its siblings stay if their points come near. What is returned are all blocks of these, in page order.
+its siblings stay if their points come near. Paragraphs and headings beside it, and text beside it that is in no element
+of its own, pass their points on and have none; each of these stays unless more than half of it is in links, however short it is, as
+what goes is known by its names or its links. What is returned are all blocks of these, in page order.
 
 A block is one line: character references decoded, white space as one space, trimmed. `<br>` is white space.
 
@@ -43,6 +45,8 @@ GOOD = re.compile(r"\b(?:article|body|content|entry|main|post|story|text)\b")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 SPACES = re.compile(r"\s+")
+#: Paragraphs and headings, which are judged by their own text, and the most of it that may be in links.
+PROSE, LINKED = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 hgroup".split()), 0.5
 
 
 def _is_cut(tag: str, attributes: str) -> tuple[bool, bool]:
@@ -165,11 +169,13 @@ def main_text(page: str | None) -> str:
         if tags[up] in ("article", "main"):
             best = up
         up = parents[up]
-    kept = {best} | {i for i in range(1, len(tags)) if i != best and parents[i] == parents[best] and value[i] >= max(10.0, 0.2 * value[best])}
+    own = lambda i: tags[i] in PROSE and size[i] and linked[i] <= LINKED * size[i]
+    kept = {best} | {i for i in range(1, len(tags)) if i != best and parents[i] == parents[best] and (value[i] >= max(10.0, 0.2 * value[best]) or own(i))}
     inside = [False] * len(tags)
     for i in range(len(tags)):
         inside[i] = i in kept or (i > 0 and inside[parents[i]])
-    return "\n".join(line for (element, _, _), line in zip(blocks, lines, strict=True) if line and inside[element])
+    beside = lambda element, line, in_links: best > 0 and element == parents[best] and in_links <= LINKED * len(line)
+    return "\n".join(line for (element, _, n), line in zip(blocks, lines, strict=True) if line and (inside[element] or beside(element, line, n)))
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -2,9 +2,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from helpers import DATA
 
-from leafmark.llm import common, license_scan, minhash
+from leafmark.llm import common, html_extract, license_scan, minhash
 
 SF = f"{DATA}/sf0.01"
 
@@ -44,3 +45,21 @@ def test_a_file_of_many_licences_has_all_of_them(spark):
     assert got[1].labels == "all-rights-reserved,apache,apache-2.0,cc-by,cc-by-nc,gpl,gpl-3.0,mpl"
     assert set(got[2].labels.split(",")) == {x for _, _, x in license_scan.TEMPLATES} | {x for _, x in license_scan.BASE}
     assert got[3].labels == "mit" and got[3].score == 1 and got[4].labels == got[5].labels == ""
+
+
+LONG = "A paragraph of some length, with commas, more of them, and words enough to count for the container that holds it."
+
+
+@pytest.mark.parametrize(
+    ("before", "after", "kept"),
+    [
+        ("<h1>T</h1><p>Long lead, and more.</p>", "<p>A long end.</p>", ("T", "Long lead, and more.", "A long end.")),
+        ("<h2>T</h2><p>short</p>", "<blockquote><p>Quoted</p></blockquote>", ("T", "short", "Quoted")),
+        ("<p>See <a href=x>this</a>, a paragraph with a link</p>", "loose <b>text</b>", ("See this, a paragraph with a link", "loose text")),
+        ("<p><a href=a>Home</a> | <a href=b>About us</a></p><h3><a href=c>Other story</a></h3>", "<p class=share>Share</p><a href=d>more</a>", ()),
+    ],
+)
+def test_paragraphs_and_headings_beside_the_container(before, after, kept):
+    page = f"<html><body><nav>n</nav><div class=story>{before}<div class=content>{f'<p>{LONG}</p>' * 4}</div>{after}</div><footer>f</footer></body></html>"
+    lines = html_extract.main_text(page).split("\n")
+    assert [x for x in lines if x != LONG] == list(kept) and lines.count(LONG) == 4
