@@ -1,11 +1,16 @@
-from collections import Counter
+import re
+import zlib
+from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from helpers import DATA
+from tokenizers import Tokenizer
 
-from leafmark.llm import common, html_extract, license_scan, minhash
+from leafmark.llm import common, html_extract, license_scan, minhash, registry
 
 SF = f"{DATA}/sf0.01"
 
@@ -63,3 +68,79 @@ def test_paragraphs_and_headings_beside_the_container(before, after, kept):
     page = f"<html><body><nav>n</nav><div class=story>{before}<div class=content>{f'<p>{LONG}</p>' * 4}</div>{after}</div><footer>f</footer></body></html>"
     lines = html_extract.main_text(page).split("\n")
     assert [x for x in lines if x != LONG] == list(kept) and lines.count(LONG) == 4
+
+
+def one_of_each(spark, texts):
+    ids = sorted(texts)
+    s = minhash.Shingles(pa.array([texts[i] for i in ids]))
+    idf = minhash.shingle_weights(spark.createDataFrame([(i, texts[i]) for i in ids], "id long, text string"))
+    cuts = np.cumsum(s.counts)[:-1]
+    sets = list(zip((x.tobytes() for x in np.split(s.low, cuts)), (x.astype(np.uint32).tobytes() for x in np.split(s.tf, cuts)), strict=True))
+    holders, parent = defaultdict(list), list(range(len(ids)))
+    for row, x in zip(s.row.tolist(), s.low.tolist(), strict=True):
+        holders[x].append(row)
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in {(v[a], v[b]) for v in holders.values() for b in range(len(v)) for a in range(b)}:
+        if minhash.similarity(*sets[a], *sets[b], idf) >= 0.8:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    return {i: texts[i] for k, i in enumerate(ids) if root(k) == k}
+
+
+def without_passages(texts, n=13):
+    words = {i: list(re.finditer(r"[^\x20\x09-\x0D]+", t)) for i, t in texts.items()}
+    windows = {i: [tuple(m[0] for m in w[k : k + n]) for k in range(len(w) - n + 1)] for i, w in words.items()}
+    owner, out = {}, {}
+    for i in sorted(texts):
+        for x in windows[i]:
+            owner.setdefault(x, i)
+    for i, w in words.items():
+        gone = {j for k, x in enumerate(windows[i]) if owner[x] < i for j in range(k, k + n)}
+        text, last = "", None
+        for k, m in enumerate(w):
+            if k not in gone:
+                gap = "" if last is None else texts[i][w[last].end() : m.start()]
+                text += (gap if last == k - 1 else "" if last is None else "\n" if "\n" in gap else " ") + m[0]
+                last = k
+        out[i] = text if gone else texts[i]
+    return out
+
+
+def test_pipeline_is_its_five_stages(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    one = {r.doc_id: texts[r.doc_id] for r in registry.queries()["op8_quality_rules"](spark, SF).collect() if r.kept}
+    key = lambda x: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\Z", "", x).translate({c: c + 32 for c in range(65, 91)})
+    owner = {}
+    for i in sorted(one):
+        for line in one[i].split("\n"):
+            owner.setdefault(key(line), i)
+    two = {i: "\n".join(x for x in t.split("\n") if len(key(x)) < 10 or owner[key(x)] == i) for i, t in one.items()}
+    three = one_of_each(spark, two)
+    four = without_passages(three)
+    assert len(one) > len(three) and three != four
+    rows = corpus_pipeline.run(spark, SF).collect()
+    hf, pieces, placed = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append(r)
+        placed[r.sequence_id].append((r.offset, r.length))
+    assert pieces.keys() == four.keys()
+    for i, text in four.items():
+        ids = np.array([*hf.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        got = sorted(pieces[i], key=lambda r: r.piece)
+        assert [r.piece for r in got] == list(range(-(-len(ids) // 1024)))
+        ends = 0
+        for r in sorted(got, key=lambda r: r.start):
+            assert r.start == ends and zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
+            ends += r.length
+        assert ends == len(ids)
+    for items in placed.values():
+        end = 0
+        for offset, length in sorted(items):
+            assert offset == end
+            end += length
+        assert end <= 1024
