@@ -130,7 +130,7 @@ def html_to_text_native(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chapter_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = I.html_chapters(spark, sf_dir).withColumn("text", html.native_html("html"))
+    items = I.html_chapters(spark, sf_dir).withColumn("text", html.parsed_html("html"))
     return assemble.chapters(items).select("doc", "pages_extracted", "pages_skipped", "word_count", _md5("markdown").alias("digest"), "reason")
 
 
