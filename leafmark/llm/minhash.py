@@ -15,7 +15,7 @@ finished exactly: their texts outside the largest component are held against all
 spread over tasks, and only links that join two components come out. Pairs that share a component are never looked at.
 
 Skew: copies never reach the buckets; a bucket's smallest id is found by a partial aggregation, and the joins back to
-its members are joins that Spark can split. Joins carry 32 bits for each shingle and only texts that are in a pair.
+its members are joins that Spark can split. Joins carry 64 bits for each shingle (low bits and df) and only texts that are in a pair.
 
 Defined cases: texts without words are in no class but their own; null ids are one document; rows that repeat an id are one
 document and share its class; an empty table gives an empty result; other columns pass through.
