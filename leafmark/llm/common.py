@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -40,14 +42,53 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders of tables that results still read: deleted by `cleaned`, at the latest when the driver's process ends.
+_WRITTEN: list[str] = []
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    if not _WRITTEN:
+        atexit.register(lambda: delete(0))
+    _WRITTEN.append(f"{shared_dir(spark)}/leafmark/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def delete(since: int, but: str = "") -> None:
+    """Deletes the folders that were made since then, where a session is still there to do it."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    for at in [x for x in _WRITTEN[since:] if x != but]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _WRITTEN.remove(at)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage with a compressed table in the shared folder; for what is too wide for a checkpoint."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/leafmark/{name}-{uuid.uuid4().hex}"
+    at = new_folder(spark, name)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+@contextmanager
+def cleaned() -> Iterator[None]:
+    """What is written inside is deleted after success, but for the table that was written last."""
+    since = len(_WRITTEN)
+    yield
+    delete(since, _WRITTEN[-1] if len(_WRITTEN) > since else "")
+
+
+def dealt(df: DataFrame, name: str, key: str, files: int) -> DataFrame:
+    """Like `written`, bucketed by a column: what groups by it later reads the table without a shuffle."""
+    spark = df.sparkSession
+    at = new_folder(spark, name)
+    table_name = f"leafmark_{at[-32:]}"
+    df.repartition(files, key).write.format("parquet").bucketBy(files, key).sortBy(key).option("path", at).saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def small_batches(spark: SparkSession, records: int = 2000) -> None:
     """Bounds the Arrow batches between the JVM and Python by rows and, where Spark can, by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
@@ -58,9 +99,16 @@ def ident(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
 
 
-def tag(text_col: str) -> Column:
-    """Tells rows of one id with different texts apart."""
-    return F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).cast("long")
+def tags(text_col: str) -> tuple[Column, Column]:
+    """128 bits that tell rows of one id with different texts apart."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.lit("again"), text)
+
+
+def inner(docs: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
+    """docs with its columns named by place, so that no name can clash with one of an operator's own; these names and the types."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names, [f.dataType.simpleString() for f in docs.schema.fields]
 
 
 def steps(batches: Iterator[pa.RecordBatch], most: int = STEP_BYTES, column: int | str = "text") -> Iterator[pa.RecordBatch]:
@@ -94,8 +142,3 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int = STEP_BYTES, column:
         size += n
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
-def replaced(df: DataFrame, source: DataFrame, text_col: str, new: str) -> DataFrame:
-    """The columns of source in their order, the text taken from column `new` of df."""
-    return df.select(*[F.col(new).alias(c) if c == text_col else F.col(f"`{c}`") for c in source.columns])

@@ -132,7 +132,7 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc = s.row[order].astype(np.uint16 if len(s.counts) < 1 << 16 else np.uint32)
         first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
         ends = np.append(first[1:], len(part))
-        keys = np.stack([b.column(b.schema.get_field_index(c)).to_numpy() for c in ("id", "tag")]).tobytes()
+        keys = np.stack([b.column(b.schema.get_field_index(c)).to_numpy() for c in ("id", "t1", "t2")]).tobytes()
         step = xxhash.xxh3_64_intdigest(keys + s.hash.tobytes()) >> 1
         yield pa.RecordBatch.from_arrays(
             [
@@ -165,7 +165,7 @@ def _counted(asked: pa.Table) -> pa.Table:
 
 def _answered(replies: pa.Table) -> pa.Table:
     """Of a step: for each text the packed (low, df) of its shared shingles; and a row with the number of texts."""
-    ids, tags = np.frombuffer(next(x for x in replies.column("keys").to_pylist() if x is not None), np.int64).reshape(2, -1)
+    keys = np.frombuffer(next(x for x in replies.column("keys").to_pylist() if x is not None), np.int64).reshape(3, -1)
     doc, low, df = (np.frombuffer(b"".join(replies.column(c).to_pylist()), np.uint32) for c in ("doc", "low", "df"))
     key, first = np.unique(doc.astype(np.uint64) << np.uint64(32) | low, return_index=True)
     doc, pairs = (key >> np.uint64(32)).astype(np.int64), np.stack([low[first], df[first]])
@@ -174,23 +174,28 @@ def _answered(replies: pa.Table) -> pa.Table:
     some = doc[starts]
     return pa.table(
         {
-            "id": pa.array([*ids[some].tolist(), None], pa.int64()), "tag": pa.array([*tags[some].tolist(), None], pa.int64()),
+            **{c: pa.array([*k[some].tolist(), None], pa.int64()) for c, k in zip(("id", "t1", "t2"), keys, strict=True)},
             "known": pa.array([*known, None], pa.binary()), "n": pa.array([0] * len(some) + [sum(replies.column("n").to_pylist())], pa.int64()),
         }
     )
 
 
+def _tagged(rows: DataFrame) -> DataFrame:
+    t1, t2 = common.tags("text")
+    return rows.select("id", t1.alias("t1"), t2.alias("t2"), "text")
+
+
 def shared_shingles(rows: DataFrame) -> tuple[DataFrame, int]:
-    """(id, tag, known) of the texts that share shingles with others; the number of texts that have any."""
-    asked = rows.select("id", common.tag("text").alias("tag"), "text").mapInArrow(_asked, "part int, step long, hash binary, doc binary, keys binary, n long")
+    """(id, t1, t2, known) of the texts that share shingles with others; the number of texts that have any."""
+    asked = _tagged(rows).mapInArrow(_asked, "part int, step long, hash binary, doc binary, keys binary, n long")
     replies = asked.groupBy("part").applyInArrow(_counted, "step long, low binary, df binary, doc binary, keys binary, n long")
-    found = common.written(replies.groupBy("step").applyInArrow(_answered, "id long, tag long, known binary, n long"), "shared-shingles")
-    return found.filter("known IS NOT NULL").select("id", "tag", "known"), found.agg(F.sum("n")).first()[0] or 0
+    found = common.written(replies.groupBy("step").applyInArrow(_answered, "id long, t1 long, t2 long, known binary, n long"), "shared-shingles")
+    return found.filter("known IS NOT NULL").select("id", "t1", "t2", "known"), found.agg(F.sum("n")).first()[0] or 0
 
 
 def _with_known(rows: DataFrame, shared: DataFrame) -> DataFrame:
-    shared = shared.groupBy("id", "tag").agg(F.collect_set("known").alias("known"))
-    return rows.select("id", common.tag("text").alias("tag"), "text").join(shared, ["id", "tag"], "left").select("id", "text", "known")
+    shared = shared.groupBy("id", "t1", "t2").agg(F.collect_set("known").alias("known"))
+    return _tagged(rows).join(shared, ["id", "t1", "t2"], "left").select("id", "text", "known")
 
 
 class Idf:

@@ -1,42 +1,57 @@
-"""Substring dedup (5): level-wise doubling over word windows, from half the window's length to the window.
+"""Substring dedup (5): level-wise doubling over word windows.
 
 A window is `window` consecutive words of one document. A word goes if a window over it also starts in a
-document with a smaller id. Candidates are found level by level: first at half the length (7 words for 13),
-where only windows that two documents hold survive; the survivors alone are extended to the next level, twice
-the length and at most `window`, where hashes of the whole window decide; nothing survives beyond it, as longer
-repeats are made of windows that are already known.
-
-At the first level a window of full length is represented by the half-length window with the smallest hash
-in it (the same one wherever the text is the same, and mostly the same one for its neighbours). So what is
-shuffled is about one row entry for five windows: the hash at half length, and 32 bits for each full window
-that hangs on it (96 bits decide that windows are the same).
-
-Skew: each step of a map task first settles its own repeats: windows of documents that are not the smallest
-of the step are dropped there and never shuffled as candidates. A passage in a third of all rows so sends
-one entry for each step. Buckets are hash ranges; their number grows with the input, so their size doesn't.
+document with a smaller id. Levels are windows of 4, 8, ... words, twice as long each time, up to `window`. At each level
+only windows that are still candidates are looked at; those whose words at this length occur in one document alone are out, the
+others are extended to the next length. At the last length the whole window decides: it goes where a smaller id has it too.
+It ends as soon as no candidate survives. (Repeats longer than the window are made of windows that are known by then.)
+
+Representatives: below full length, a window stands for itself by the one of its shorter windows with the smallest
+hash. That is the same one wherever the words are the same, and mostly the same one for its neighbours, so a level sends one
+number of 32 bits for about five places at 4 words. Equal numbers by chance only let a candidate through to the next level; at full
+length 96 bits decide.
+
+Layout: texts are dealt once to buckets, written as a table bucketed by them, and read from there at each level without
+a shuffle. What a level shuffles are each bucket's distinct numbers, cut to parts of the number space; what comes back is one bit
+for each. No text, place or id goes with them before the last level, which sends (hash, smallest id) of each distinct window.
+
+Skew: a bucket sends a number once, however often its texts hold it, so a passage in a third of all rows is one entry for each
+bucket. A phrase that is followed by very many different words is one number at its own level, and its continuations
+have hashes of their own, which go to different parts. Buckets are made by a hash of id and text (and, for null ids, of the scan's
+partition), so one id can't fill a bucket; buckets and parts grow in number with the input, not in size. Only a single
+text is held whole.
 
 Defined cases: null text has no words; null ids are one document, smaller than all others; rows that repeat
-an id are one document, each judged for its own words (told apart by a checksum of the text); an empty table
-gives an empty result; other columns pass through.
+an id are one document, each judged for its own words; an empty table gives an empty result; other columns,
+whatever their names, pass through.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmark.llm import common
 from leafmark.llm.words import Words, covered
 
-STEP = 4 << 20
-CANDIDATES, GONE = 0, 1
-_RUN = np.dtype([("anchor", "<u8"), ("id", "<i8"), ("tag", "<u4"), ("at", "<u4"), ("n", "<u2")])
-_SPAN = np.dtype([("id", "<i8"), ("tag", "<u4"), ("at", "<u4"), ("n", "<u4")])
-_MOST = 60_000
+SHORTEST = 4
+#: Bytes of text in a bucket, in a part of the number space, and in a file of the dealt table.
+BUCKET_BYTES, PART_BYTES, FILE_BYTES = 16 << 20, 1 << 29, 1 << 27
+LEAST_BUCKETS = 256
+SENT = "part int, bucket int, data binary"
+REPLY = "bucket int, level int, part int, bits binary, live long"
+_REPLY = pa.schema([("bucket", pa.int32()), ("level", pa.int32()), ("part", pa.int32()), ("bits", pa.binary()), ("live", pa.int64())])
+
+
+def levels(window: int) -> list[int]:
+    out, n = [], SHORTEST
+    while n < window:
+        out.append(n)
+        n *= 2
+    return [*out, window]
 
 
 def _runs(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,173 +60,146 @@ def _runs(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(new)))
 
 
-def _spans(ids: np.ndarray, tags: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Windows, in order of text and place, as runs of neighbours."""
-    if not len(at):
-        return np.zeros(0, _SPAN)
-    new = np.append(True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]) | (at[1:] != at[:-1] + 1))
-    first, n = _runs(new)
-    out = np.zeros(len(first), _SPAN)
-    out["id"], out["tag"], out["at"], out["n"] = ids[first], tags[first], at[first], n
-    return out
-
-
-def _prime(n: int) -> int:
-    """The first prime from n on: ids that are multiples of a number still spread."""
-    while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
-        n += 1
-    return n
-
-
-def _by_document(spans: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    key = (spans["id"] ^ (spans["id"] >> 32)) % buckets
-    order = np.argsort(key, kind="stable")
-    key, spans = key[order], spans[order]
-    for first, n in zip(*_runs(np.append(True, key[1:] != key[:-1])) if len(key) else ((), ()), strict=True):
-        yield int(key[first]), spans[first : first + n].tobytes()
-
-
-_ROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("data", pa.binary())])
-ROW = "bucket int, kind tinyint, data binary"
-
-
-def _rows(kind: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([kind] * len(rows), pa.int8()), pa.array([r[1] for r in rows], pa.binary())], schema=_ROW)
-
-
-def _candidates(window: int, buckets: int):
-    half = (window + 1) // 2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.gathered(batches, STEP):
-            w = Words(b.column(b.schema.get_field_index("text")))
-            whole, one = w.windows(window)
-            at = np.flatnonzero(one)
-            if not len(at):
-                continue
-            short = w.windows(half)[0]
-            best, value = np.zeros(len(whole), np.int64), short[: len(whole)].copy()
-            for j in range(1, window - half + 1):
-                other = short[j : j + len(whole)]
-                less = other < value
-                best[less], value[less] = j, other[less]
-            row = w.row[at]
-            ids = b.column(b.schema.get_field_index("id")).to_numpy()[row]
-            tags = b.column(b.schema.get_field_index("tag")).to_numpy()[row].astype(np.uint32)
-            anchor_at, place = (at + best[at]), at - (np.cumsum(w.counts) - w.counts)[row]
-            whole, value = whole[at], value[at]
-            # this step's own repeats
-            order = np.lexsort((ids, whole))
-            h, d = whole[order], ids[order]
-            new = np.append(True, h[1:] != h[:-1])
-            owner = d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
-            gone = np.zeros(len(at), bool)
-            gone[order] = d != owner
-            if gone.any():
-                yield _rows(GONE, [(k % buckets, x) for k, x in _by_document(_spans(ids[gone], tags[gone], place[gone]), buckets)])
-            keep = np.flatnonzero(~gone)
-            a, i = anchor_at[keep], at[keep]
-            new = np.append(True, (a[1:] != a[:-1]) | (i[1:] != i[:-1] + 1))
-            new[:: _MOST] = True
-            first, n = _runs(new)
-            runs = np.zeros(len(first), _RUN)
-            f = keep[first]
-            runs["anchor"], runs["id"], runs["tag"], runs["at"], runs["n"] = value[f], ids[f], tags[f], place[f], n
-            low = whole[keep].astype(np.uint32)
-            bucket = (runs["anchor"] * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)).astype(np.int64) % buckets
-            order = np.argsort(bucket, kind="stable")
-            spread = np.repeat(first[order] - np.append(0, np.cumsum(n[order])[:-1]), n[order]) + np.arange(len(low))
-            low, runs, bucket, ends = low[spread], runs[order], bucket[order], np.append(0, np.cumsum(n[order]))
-            out = []
-            for x, m in zip(*_runs(np.append(True, bucket[1:] != bucket[:-1])), strict=True):
-                out.append((int(bucket[x]), np.uint32(m).tobytes() + runs[x : x + m].tobytes() + low[ends[x] : ends[x + m]].tobytes()))
-            yield _rows(CANDIDATES, out)
-
-    return run
-
-
-def _decided(data: list[bytes]) -> np.ndarray:
-    """Of one bucket, the windows that a smaller document holds too."""
-    sizes = [int(np.frombuffer(x, "<u4", 1)[0]) for x in data]
-    runs = np.concatenate([np.frombuffer(x, _RUN, m, 4) for x, m in zip(data, sizes, strict=True)])
-    low = np.concatenate([np.frombuffer(x, "<u4", offset=4 + m * _RUN.itemsize) for x, m in zip(data, sizes, strict=True)])
-    starts = np.append(0, np.cumsum(runs["n"].astype(np.int64)))[:-1]
-    # half length: anchors that two documents hold
-    order = np.lexsort((runs["id"], runs["anchor"]))
-    a, d = runs["anchor"][order], runs["id"][order]
-    first, n = _runs(np.append(True, a[1:] != a[:-1]))
-    two = np.repeat(d[first] != d[first + n - 1], n)
-    live = order[two]
-    if not len(live):
-        return np.zeros(0, _SPAN)
-    # full length: windows of these alone
-    runs, starts = runs[live], starts[live]
-    n = runs["n"].astype(np.int64)
-    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    low = low[np.repeat(starts, n) + step]
-    anchor, ids, tags, at = np.repeat(runs["anchor"], n), np.repeat(runs["id"], n), np.repeat(runs["tag"], n), np.repeat(runs["at"], n) + step
-    order = np.lexsort((ids, low, anchor))
-    x, y, d = anchor[order], low[order], ids[order]
-    new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
-    owner = d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
-    gone = order[d != owner]
-    gone = gone[np.lexsort((at[gone], tags[gone], ids[gone]))]
-    return _spans(ids[gone], tags[gone], at[gone])
-
-
-def _survivors(buckets: int):
-    """Streams buckets in order; holds one bucket and the spans found so far."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held, found, size = None, [], [], 0
-        for b in batches:
-            for k, kind, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if kind == GONE:
-                    found.append(np.frombuffer(data, _SPAN))
-                    size += len(found[-1])
-                    continue
-                if k != bucket and held:
-                    found.append(_decided(held))
-                    size += len(found[-1])
-                    held = []
-                    if size > 500_000:
-                        yield _rows(GONE, list(_by_document(np.concatenate(found), buckets)))
-                        found, size = [], 0
-                bucket = k
-                held.append(data)
-        if held:
-            found.append(_decided(held))
-        if found and len(spans := np.concatenate(found)):
-            yield _rows(GONE, list(_by_document(spans, buckets)))
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    column = column.combine_chunks()
+    return column.chunk(0) if isinstance(column, pa.ChunkedArray) and column.num_chunks else pa.array([], column.type) if isinstance(column, pa.ChunkedArray) else column
+
+
+class Bucket:
+    """The texts of a bucket and the starts of their windows that are still candidates."""
+
+    def __init__(self, rows: pa.Table, window: int, parts: int) -> None:
+        self.text = _whole(rows.column("__text"))
+        self.words = Words(self.text)
+        self.ids = rows.column("__id").to_numpy()
+        self.window, self.parts = window, parts
+        self.live = np.flatnonzero(self.words.windows(window)[1])
+
+    def numbers(self, length: int) -> np.ndarray:
+        """Of each candidate, part and number at this length: the smallest hash of the windows of this length in it."""
+        h = self.words.windows(length)[0]
+        least = h[: max(len(h) - (self.window - length), 0)].copy()
+        for j in range(1, self.window - length + 1):
+            np.minimum(least, h[j : j + len(least)], out=least)
+        h = least[self.live]
+        return (h >> np.uint64(32)) % np.uint64(self.parts) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
+
+    def distinct(self, length: int) -> tuple[np.ndarray, ...]:
+        """Distinct numbers in order (at full length: parts, hashes, checks), place of each candidate among them, smallest and largest id of each."""
+        d = self.ids[self.words.row[self.live]]
+        if length < self.window:
+            keys = (self.numbers(length),)
+            order = np.argsort(keys[0], kind="stable")
+        else:
+            h, c = self.words.windows(length)[0][self.live], self.words.windows(length, other=True)[0][self.live]
+            keys = ((h >> np.uint64(32)) % np.uint64(self.parts), h, c >> np.uint64(32))
+            order = np.lexsort(keys[::-1])
+        keys, d = tuple(k[order] for k in keys), d[order]
+        new = np.ones(len(order), bool)
+        if len(order):
+            new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        first = np.flatnonzero(new)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        low, high = (f.reduceat(d, first) if len(first) else d for f in (np.minimum, np.maximum))
+        return (*(k[first] for k in keys), place, low, high)
+
+    def survive(self, replies: pa.Table) -> None:
+        """Keeps the candidates that the replies of the levels below full length let through."""
+        for length in levels(self.window)[:-1]:
+            if (bits := _bits(replies, length)) is None:
+                return
+            *_, place, _, _ = self.distinct(length)
+            self.live = self.live[bits[place]] if len(place) else self.live
+
+
+def _bits(replies: pa.Table, length: int) -> np.ndarray | None:
+    """The answers to a bucket's distinct numbers, in their order."""
+    some = replies.filter(pc.equal(replies.column("level"), length)).sort_by("part")
+    if not some.num_rows:
+        return None
+    out = []
+    for x in some.column("bits").to_pylist():
+        n = int(np.frombuffer(x, "<u4", 1)[0])
+        out.append(np.unpackbits(np.frombuffer(x, np.uint8, offset=4), count=n).astype(bool))
+    return np.concatenate(out)
+
+
+def _packed(bits: np.ndarray) -> bytes:
+    return np.uint32(len(bits)).tobytes() + np.packbits(bits).tobytes()
+
+
+def _sent(window: int, length: int, parts: int):
+    def run(rows: pa.Table, replies: pa.Table | None = None) -> pa.Table:
+        b = Bucket(rows, window, parts)
+        if replies is not None:
+            b.survive(replies)
+        out = []
+        if len(b.live):
+            if length < window:
+                keys, _, low, high = b.distinct(length)
+                part, columns = keys >> np.uint64(32), (keys.astype("<u4"),)
+                flags = low != high
+            else:
+                part, h, c, _, low, _ = b.distinct(length)
+                columns, flags = (h, c.astype("<u4"), low), None
+            for a, n in zip(*_runs(np.append(True, part[1:] != part[:-1])), strict=True):
+                data = b"".join(x[a : a + n].tobytes() for x in columns)
+                out.append((int(part[a]), np.uint32(n).tobytes() + data + (np.packbits(flags[a : a + n]).tobytes() if flags is not None else b"")))
+        bucket = rows.column("__bucket")[0].as_py()
+        return pa.table({"part": pa.array([x for x, _ in out], pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int32()), "data": pa.array([x for _, x in out], pa.binary())})
+
+    return (lambda rows: run(rows)) if length == levels(window)[0] else (lambda rows, replies: run(rows, replies) if rows.num_rows else _nothing())
+
+
+def _nothing() -> pa.Table:
+    return pa.table({"part": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
+
+
+def _answered(length: int, last: bool):
+    """Of a part: for each bucket, which of its numbers other documents have too; at full length, smaller ones."""
+
+    def run(sent: pa.Table) -> pa.Table:
+        data = sent.column("data").to_pylist()
+        sizes = np.array([int(np.frombuffer(x, "<u4", 1)[0]) for x in data])
+        read = lambda kind, skip: np.concatenate([np.frombuffer(x, kind, n, 4 + skip * n) for x, n in zip(data, sizes.tolist(), strict=True)])
+        if last:
+            h, c, ids = read("<u8", 0), read("<u4", 8), read("<i8", 12)
+            order = np.lexsort((ids, c, h))
+            same = (h[order[1:]] == h[order[:-1]]) & (c[order[1:]] == c[order[:-1]])
+            new = np.append(True, ~same)
+            least = ids[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+            yes = np.empty(len(order), bool)
+            yes[order] = ids[order] > least
+        else:
+            number = read("<u4", 0)
+            several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8, offset=4 + 4 * n), count=n) for x, n in zip(data, sizes.tolist(), strict=True)])
+            order = np.argsort(number, kind="stable")
+            first, n = _runs(np.append(True, number[order[1:]] != number[order[:-1]]))
+            yes = np.empty(len(order), bool)
+            yes[order] = np.repeat((n > 1) | (np.add.reduceat(several[order].astype(np.int64), first) > 0), n)
+        cuts = np.split(yes, np.cumsum(sizes)[:-1])
+        rows = sent.num_rows
+        columns = [sent.column("bucket"), pa.array([length] * rows, pa.int32()), sent.column("part"), pa.array([_packed(x) for x in cuts], pa.binary()), pa.array([int(x.sum()) for x in cuts], pa.int64())]
+        return pa.table(columns, schema=_REPLY)
 
     return run
 
 
-def _cut_out(window: int, joined: bool):
-    def run(docs: pa.Table, gone: pa.Table) -> pa.Table:
-        docs = docs.combine_chunks()
-        spans = np.concatenate([np.frombuffer(x, _SPAN) for x in gone.column("data").to_pylist()] or [np.zeros(0, _SPAN)])
-        spans = spans[np.lexsort((spans["at"], spans["tag"], spans["id"]))]
-        texts = docs.column("__text").combine_chunks()
-        texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
-        w = Words(texts)
-        ids, tags = docs.column("__id").to_numpy(), docs.column("__tag").to_numpy()
-        base = np.cumsum(w.counts) - w.counts
+def _cut_out(window: int, parts: int, joined: bool, rest: list[str]):
+    def run(rows: pa.Table, replies: pa.Table) -> pa.Table:
+        b = Bucket(rows, window, parts)
+        w, texts = b.words, b.text
+        b.survive(replies)
         removed = np.zeros(len(w.starts), bool)
-        key = np.zeros(len(spans), [("id", "<i8"), ("tag", "<u4")])
-        key["id"], key["tag"] = spans["id"], spans["tag"]
-        for i in range(len(ids)):
-            want = np.array((ids[i], tags[i]), key.dtype)
-            a, z = np.searchsorted(key, want, "left"), np.searchsorted(key, want, "right")
-            if a < z:
-                s = spans[a:z]
-                n = s["n"].astype(np.int64)
-                at = np.repeat(s["at"].astype(np.int64), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                removed[base[i] : base[i] + w.counts[i]] = covered(at, window, int(w.counts[i]))
-        n_removed = np.bincount(w.row[removed], minlength=len(ids))
-        raw, out = w.bytes.tobytes(), []
-        nulls = texts.is_null().to_pylist()
-        for i in range(len(ids)):
+        if (bits := _bits(replies, window)) is not None:
+            *_, place, low, _ = b.distinct(window)
+            gone = b.live[bits[place] | (b.ids[w.row[b.live]] > low[place])]
+            removed = covered(gone, window, len(w.starts))
+        base, n = np.cumsum(w.counts) - w.counts, len(w.counts)
+        n_removed = np.bincount(w.row[removed], minlength=n)
+        raw, out, nulls = w.bytes.tobytes(), [], texts.is_null().to_pylist()
+        for i in range(n):
             a, z = base[i], base[i] + w.counts[i]
             if joined:
                 keep = np.flatnonzero(~removed[a:z]) + a
@@ -222,14 +210,13 @@ def _cut_out(window: int, joined: bool):
                 keep = ~removed[a:z]
                 first = np.flatnonzero(keep & np.append(True, ~keep[:-1])) + a
                 last = np.flatnonzero(keep & np.append(~keep[1:], True)) + a
-                text, end = b"", None
+                pieces, end = [], None
                 for s, e in zip(w.starts[first].tolist(), w.ends[last].tolist(), strict=True):
-                    text += (b"" if end is None else b"\n" if b"\n" in raw[end:s] else b" ") + raw[s:e]
+                    pieces += [b"" if end is None else b"\n" if b"\n" in raw[end:s] else b" ", raw[s:e]]
                     end = e
-                out.append(text)
-        rest = [c for c in docs.column_names if c not in ("__text", "__id", "__tag", "__bucket")]
+                out.append(b"".join(pieces))
         new = [pa.array(out, pa.binary()).cast(pa.string()), pa.array(w.counts, pa.int64()), pa.array(n_removed, pa.int64())]
-        return pa.table([docs.column(c) for c in rest] + new, names=[*rest, "__new_text", "__n_words", "__n_removed"])
+        return pa.table([rows.column(c) for c in rest] + new, names=[*rest, "__new", "__n_words", "__n_removed"])
 
     return run
 
@@ -240,16 +227,29 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     n_removed (which replace columns of these names)."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    buckets = _prime(min(max(2048, size >> 23), 1 << 30))
-    rows = docs.select(common.ident(id_col).alias("id"), common.tag(text_col).alias("tag"), F.col(text_col).alias("text"))
-    found = rows.mapInArrow(_candidates(window, buckets), ROW).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_survivors(buckets), ROW)
-    rest = [c for c in docs.columns if c != text_col]
-    key = F.expr(f"cast(pmod(__id ^ shiftright(__id, 32), {buckets}L) as int)")  # as _by_document has it
-    left = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).alias("__text"), common.ident(id_col).alias("__id"), common.tag(text_col).alias("__tag")).withColumn("__bucket", key)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest) + ", " * bool(rest) + "__new_text string, __n_words long, __n_removed long"
-    out = left.groupBy("__bucket").cogroup(found.groupBy("bucket")).applyInArrow(_cut_out(window, joined), schema)
-    columns = [F.col("__new_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if not (counts and c in ("n_words", "n_removed"))]
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets, parts = (max(LEAST_BUCKETS, -(-size // n)) for n in (BUCKET_BYTES, PART_BYTES))
+    files = max(2 * spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
+    named, names, types = common.inner(docs)
+    text, key = names[docs.columns.index(text_col)], names[docs.columns.index(id_col)]
+    rest = [c for c in names if c != text]
+    salt = F.when(F.col(key).isNull(), F.spark_partition_id()).otherwise(0)
+    bucket = F.pmod(F.xxhash64(common.ident(key), text, salt), F.lit(buckets)).cast("int")
+    rows = common.dealt(named.select(*rest, F.col(text).alias("__text"), common.ident(key).alias("__id"), bucket.alias("__bucket")), "texts", "__bucket", files)
+    slim, replies = rows.select("__bucket", "__id", "__text"), None
+    for length in levels(window):
+        make = _sent(window, length, parts)
+        if replies is None:
+            sent = slim.groupBy("__bucket").applyInArrow(make, SENT)
+        else:
+            sent = slim.groupBy("__bucket").cogroup(replies.groupBy("bucket")).applyInArrow(make, SENT)
+        reply = common.written(sent.groupBy("part").applyInArrow(_answered(length, length == window), REPLY), f"windows-of-{length}")
+        replies = reply if replies is None else replies.unionByName(reply)
+        if not reply.agg(F.sum("live")).first()[0]:
+            break
+    schema = "".join(f"{c} {t}, " for c, t in zip(names, types, strict=True) if c != text) + "__new string, __n_words long, __n_removed long"
+    out = rows.groupBy("__bucket").cogroup(replies.groupBy("bucket")).applyInArrow(_cut_out(window, parts, joined, rest), schema)
+    columns = [F.col("__new" if c == text else c).alias(name) for c, name in zip(names, docs.columns, strict=True) if not (counts and name in ("n_words", "n_removed"))]
     return out.select(*columns, *([F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed")] if counts else []))
 
 

@@ -12,7 +12,7 @@ import xxhash
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 _LONG = 64
 
 
@@ -70,14 +70,16 @@ class Words:
             self._hash = h
         return self._hash
 
-    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the windows of k words, by place of the first word, and which of these lie in one text."""
+    def windows(self, k: int, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the windows of k words, by place of the first word, and which of these lie in one text. other: by
+        another multiplier."""
+        by = _M3 if other else _M1
         h, n = self.hash, len(self.hash) - k + 1
         if n <= 0:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
         out = h[:n].copy()
         for j in range(1, k):
-            out *= _M1
+            out *= by
             out += h[j : j + n]
         return mix(out), self.row[:n] == self.row[k - 1 :]
 
