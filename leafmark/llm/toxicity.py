@@ -1,13 +1,16 @@
 """Toxicity (4): a factorization machine over hashed terms.
 
-A text's terms are its words, in lower case and without marks at the ends, and the words' first four to seven
-letters (stems); each is hashed to one of 2**22 numbers. The score is sigmoid(w0 + sum w_i + sum over pairs
-<v_i, v_j>), over the terms in the text: pairs such as an insult with the mention of a group have a weight of
+A text's terms are its words, in lower case and without marks at the ends, and the words' beginnings of STEMS letters;
+each is hashed to one of 2**22 numbers; one that occurs c times counts x = 1 + ln c. The score is
+sigmoid(w0 + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j / n), over the n terms of the text that the model has factors for: pairs such as an insult with the mention of a group have a weight of
 their own, which a sum of weights alone can't give them.
 
 Training reads labels of rows whose crc32(doc_id as text) mod 5 is not 0, at most `most` of them (half of each
-label, chosen by a hash of the id), with their whole texts; the share of the labels among all these rows sets the
-intercept. Terms that tell the labels apart best are kept, `most_terms` of them, so the model has a fixed size.
+label, chosen by a hash of the id; of an id that occurs again, its smallest text), with their whole texts and all their terms; the share of the labels
+among all these rows sets the intercept. No number of terms is fixed. Weights have an L1 penalty, so that terms whose weight the
+rows don't support are exactly 0: one that no more than penalty * rows of them hold can't have a weight at all and is left out from the start.
+Factors have an L2 penalty that no single row can overcome; those of terms that it takes to 0 are dropped. They are not chosen by what a term says alone:
+terms that only tell labels apart in pairs have them too. The penalty is chosen on a quarter of the training rows.
 Labels, languages, sources and ids are no inputs of a score. Scoring is one pass without a shuffle.
 
 Defined cases: null or empty text has no terms and gets the intercept's score; a null id is not held out; a label
@@ -17,7 +20,9 @@ of toxic rows (0 without any).
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,22 +32,20 @@ from pyspark.sql import functions as F
 
 from leafmark.llm import common
 
-MOST_TRAINING_DOCS, MOST_TERMS, FACTORS = 4000, 300, 4
+MOST_TRAINING_DOCS, FACTORS = 4000, 4
+#: Penalties that are tried, in training rows: what so many rows or fewer hold has no weight.
+SUPPORTS = (16, 10, 6, 4)
 MARKS = ".,;:!?\"'()[]{}<>*#%&$|-_…«»„“”"
 _MASK = (1 << 22) - 1
 #: Letters of a word's beginnings that are terms of their own.
-STEMS = (4, 5, 6, 7)
+STEMS = (4, 6)
 
 
 def word_terms(word: str) -> tuple[int, ...]:
     word = word.strip(MARKS)
     if not word:
         return ()
-    terms = {zlib.crc32(b"w" + word.encode()) & _MASK}
-    for n in STEMS:
-        if len(word) >= n:
-            terms.add(zlib.crc32(b"%d" % n + word[:n].encode()) & _MASK)
-    return tuple(terms)
+    return tuple({zlib.crc32(b"w" + word.encode()) & _MASK, *(zlib.crc32(b"%d" % n + word[:n].encode()) & _MASK for n in STEMS if len(word) >= n)})
 
 
 class Terms:
@@ -61,70 +64,161 @@ class Terms:
             self.memo[word] = terms
         return terms
 
-    def __call__(self, text: str | None) -> set[int]:
-        out, get = set(), self.memo.get
-        for word in set((text or "").lower().split()):
+    def __call__(self, text: str | None) -> dict[int, float]:
+        out, get = {}, self.memo.get
+        for word, n in Counter((text or "").lower().split()).items():
             terms = get(word)
             if terms is None:
                 terms = self._of(word)
-            if terms:
-                out.update(terms)
+            for t in terms:
+                out[t] = out.get(t, 0) + n
+        return {t: 1 + math.log(n) for t, n in out.items()}
+
+
+class _Rows:
+    """Terms of texts, as places, columns and values; only terms that more than `least` rows hold."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], least: float) -> None:
+        n = np.zeros(_MASK + 1, np.int32)
+        for r, _ in rows:
+            n[r] += 1
+        self.terms = np.flatnonzero(n > least)
+        column = np.full(_MASK + 1, -1, np.int32)
+        column[self.terms] = np.arange(len(self.terms))
+        known = [(column[r], x) for r, x in rows]
+        known = [(c[c >= 0], x[c >= 0]) for c, x in known]
+        none = np.zeros(0, np.float32)
+        self._set(np.concatenate([none.astype(np.int32), *(c for c, _ in known)]), np.concatenate([none, *(x for _, x in known)]), np.array([len(c) for c, _ in known]))
+
+    def _set(self, cols: np.ndarray, values: np.ndarray, counts: np.ndarray) -> None:
+        self.cols, self.values, self.counts, self.ends = cols, values, counts, np.cumsum(counts)
+
+    def only(self, some: np.ndarray) -> _Rows:
+        """The rows of a mask, with the same columns."""
+        out = object.__new__(_Rows)
+        out.terms = self.terms
+        each = np.repeat(some, self.counts)
+        out._set(self.cols[each], self.values[each], self.counts[some])
+        return out
+
+    def among(self, some: np.ndarray) -> _Rows:
+        """All rows, with the columns of a mask."""
+        out = object.__new__(_Rows)
+        out.terms = self.terms[some]
+        has, column = some[self.cols], np.cumsum(some) - 1
+        out._set(column[self.cols[has]], self.values[has], np.diff(np.append(0, np.append(0, np.cumsum(has))[self.ends])))
         return out
 
+    def sums(self, u: np.ndarray, power: int = 1) -> np.ndarray:
+        """Of each row, the sum of u times value over its terms."""
+        total = np.append(0.0, np.cumsum(u[self.cols] * self.values**power))
+        return total[self.ends] - total[self.ends - self.counts]
+
+    def spread(self, e: np.ndarray, power: int = 1) -> np.ndarray:
+        """Of each term, the sum of e times value over its rows."""
+        return np.bincount(self.cols, np.repeat(e, self.counts) * self.values**power, len(self.terms))
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _weights(x: _Rows, y: np.ndarray, penalty: float, w0: float, w: np.ndarray, offset: np.ndarray, rounds: int = 100) -> tuple[float, np.ndarray]:
+    """Logistic regression with an L1 penalty on w, by accelerated proximal gradient from (w0, w); offset: what else a row scores.
+    Each term has a step of its own, from a bound of the curvature by the lengths of its rows."""
+    size = 1 + x.sums(np.ones(len(w)))
+    step, step0 = 4 * len(y) / np.maximum(x.spread(size), 1), 4 * len(y) / size.sum()
+    a0, a, t = w0, w, 1.0
+    for _ in range(rounds):
+        e = _sigmoid(a0 + x.sums(a) + offset) - y
+        new0, new = a0 - step0 * e.sum() / len(y), a - step * x.spread(e) / len(y)
+        new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
+        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        a0, a = new0 + (t - 1) / after * (new0 - w0), new + (t - 1) / after * (new - w)
+        w0, w, t = new0, new, after
+    return w0, w
+
+
+def _relaxed(x: _Rows, y: np.ndarray, penalty: float, w0: float, w: np.ndarray, offset: np.ndarray) -> tuple[float, np.ndarray]:
+    """Weights of the terms that the penalty left, fitted again with a tenth of it, as it makes all of them too small."""
+    some = w != 0
+    new = np.zeros(len(w))
+    w0, new[some] = _weights(x.among(some), y, penalty / 10, w0, w[some], offset)
+    return w0, new
+
+
+def _pairs(x: _Rows, v: np.ndarray) -> np.ndarray:
+    """Of each row, the sum over pairs of its terms, by their number."""
+    sums = np.stack([x.sums(v[:, k]) for k in range(v.shape[1])], 1)
+    return 0.5 * ((sums**2).sum(1) - x.sums((v**2).sum(1), 2)) / np.maximum(x.counts, 1)
+
+
+def _factors(x: _Rows, y: np.ndarray, score: np.ndarray, factors: int, rounds: int) -> np.ndarray:
+    """Factors of pairs beside a given score, by Adam; those that the penalty takes to 0 are 0."""
+    v = np.random.default_rng(7).normal(0, 0.2, (len(x.terms), factors))
+    m, s = np.zeros_like(v), np.zeros_like(v)
+    scale = 1 / np.maximum(x.counts, 1)
+    for step in range(1, rounds + 1):
+        e = (_sigmoid(score + _pairs(x, v)) - y) * scale
+        alone = x.spread(e, 2)
+        g = np.stack([x.spread(e * x.sums(v[:, k])) for k in range(factors)], 1) - alone[:, None] * v + 2 * v
+        m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g**2
+        v = v - 0.1 * (1 - step / (rounds + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+    return np.where((np.abs(v).max(1) > 0.05)[:, None], v, 0.0)
+
 
 class FactorizationMachine:
+    """terms: numbers that have a weight or factors; w0, w, v: intercept, weights, factors."""
+
     def __init__(self, terms: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray) -> None:
         self.terms, self.w0, self.w, self.v = terms, w0, w, v
-        self.squares = (v**2).sum(axis=1)
+        self.squares, self.paired = (v**2).sum(axis=1), v.any(axis=1)
 
     @classmethod
-    def trained(cls, texts: list[str | None], labels: list[int], share: float, most_terms: int = MOST_TERMS, factors: int = FACTORS, rounds: int = 200, decay: float = 3e-5) -> FactorizationMachine:
+    def trained(cls, texts: list[str | None], labels: list[int], share: float, factors: int = FACTORS, rounds: int = 60) -> FactorizationMachine:
         """share: of label 1 among all rows that could have been drawn; moves the intercept."""
         y = np.array(labels, float)
         none = cls(np.zeros(0, np.int64), float(np.log((share + 1e-6) / (1 - share + 1e-6))), np.zeros(0), np.zeros((0, factors)))
         if len(set(labels)) < 2:
             return none
         of = Terms(most=50_000)
-        rows = [np.fromiter(of(t), np.int32) for t in texts]  # sets of numbers would take the driver's memory
-        n, positive = np.zeros(_MASK + 1, np.float32), np.zeros(_MASK + 1, np.float32)
-        for r, label in zip(rows, y, strict=True):
-            n[r] += 1
-            positive[r] += label
-        a, b = (positive + 0.5) / (y.sum() + 1), (n - positive + 0.5) / (len(y) - y.sum() + 1)
-        gain = np.where(n >= max(4, 0.005 * len(y)), np.abs(np.log(a / b)) * np.sqrt(n), 0)
-        best = np.argsort(-gain, kind="stable")[:most_terms]
-        best = np.sort(best[gain[best] > 0])
-        if not len(best):
-            return none
-        column = np.full(_MASK + 1, -1, np.int32)
-        column[best] = np.arange(len(best))
-        x = np.zeros((len(rows), len(best)), np.float32)
-        for i, r in enumerate(rows):
-            c = column[r]
-            x[i, c[c >= 0]] = 1
-        rng = np.random.default_rng(7)
-        theta = [np.zeros(1), np.zeros(len(best)), rng.normal(0, 0.01, (len(best), factors))]
-        m, s = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
-        for step in range(1, rounds + 1):
-            w0, w, v = theta
-            xv = x @ v.astype(np.float32)
-            z = w0 + x @ w + 0.5 * ((xv**2).sum(1) - x @ (v**2).sum(1))
-            e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-            xe = x.T @ e.astype(np.float32)
-            grads = [np.array([e.sum()]), xe + decay * w, x.T @ (e[:, None] * xv).astype(np.float32) - xe[:, None] * v + 10 * decay * v]
-            for k, g in enumerate(grads):
-                m[k], s[k] = 0.9 * m[k] + 0.1 * g, 0.99 * s[k] + 0.01 * g**2
-                theta[k] = theta[k] - 0.1 * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
+        rows = [(np.fromiter(found, np.int32), np.fromiter(found.values(), np.float32)) for found in map(of, texts)]  # as arrays, for the driver's memory
+        n = len(y)
+        # the smallest penalty that is tried lets through no term of fewer rows
+        x = _Rows(rows, min(SUPPORTS) * min(1.0, n / 1000))
+        del rows, of
+        penalties = [k * min(1.0, n / 1000) / n for k in SUPPORTS]
+        fold = np.arange(n) % 4 == 3
+        fit, seen, test, asked = x.only(~fold), y[~fold], x.only(fold), y[fold]
+        best, loss = penalties[0], np.inf
+        w0, w = 0.0, np.zeros(len(x.terms))
+        for penalty in penalties:
+            w0, w = _weights(fit, seen, penalty, w0, w, 0.0)
+            z0, z = _relaxed(fit, seen, penalty, w0, w, 0.0)
+            z = z0 + test.sums(z)
+            now = float((np.logaddexp(0, z) - asked * z).sum())
+            if now < loss:
+                best, loss = penalty, now
+        w0, w = _weights(x, y, best, 0.0, np.zeros(len(x.terms)), 0.0)
+        # what the penalty keeps the weights from telling is left for pairs; then the weights are fitted beside these
+        v = _factors(x, y, w0 + x.sums(w), factors, rounds)
+        some = v.any(1)
+        w0, w = _relaxed(x, y, best, w0, w, _pairs(x.among(some), v[some]))
+        keep = (w != 0) | some
         drawn = y.mean()
         shift = np.log(max(share, 1e-6) / max(1 - share, 1e-6)) - np.log(drawn / (1 - drawn))
-        return cls(best, float(theta[0][0] + shift), theta[1], theta[2])
+        return cls(x.terms[keep], float(w0 + shift), w[keep], v[keep])
 
-    def score(self, terms: set[int]) -> float:
+    def score(self, terms: dict[int, float]) -> float:
+        """terms: places in self.terms, and values."""
         z = self.w0
         if terms:
             i = sorted(terms)
-            z += self.w[i].sum() + 0.5 * ((self.v[i].sum(axis=0) ** 2).sum() - self.squares[i].sum())
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            x = np.array([terms[t] for t in i])
+            z += (self.w[i] * x).sum()
+            if n := int(self.paired[i].sum()):
+                z += 0.5 * (((self.v[i] * x[:, None]).sum(axis=0) ** 2).sum() - (self.squares[i] * x**2).sum()) / n
+        return float(_sigmoid(np.float64(z)))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -136,7 +230,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING_DOCS) ->
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
     # at most `most` rows, so that the join below may broadcast them
     half = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2) for k in (0, 1)]
-    rows = docs.select("doc_id", "text").join(F.broadcast(half[0].unionByName(half[1])), "doc_id").orderBy("doc_id", "text").select("text", "toxic").collect()
+    found = docs.select("doc_id", "text").join(F.broadcast(half[0].unionByName(half[1])), "doc_id")
+    rows = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     return FactorizationMachine.trained([r.text for r in rows], [r.toxic for r in rows], float(share))
 
 
