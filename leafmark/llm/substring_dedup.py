@@ -39,7 +39,7 @@ from leafmark.llm.words import Words, covered
 
 SHORTEST = 4
 #: Bytes of text in a bucket, in a part of the number space, and in a file of the dealt table.
-BUCKET_BYTES, PART_BYTES, FILE_BYTES = 16 << 20, 1 << 29, 1 << 27
+BUCKET_BYTES, PART_BYTES, FILE_BYTES = 16 << 20, 1 << 29, 1 << 25
 LEAST_BUCKETS = 256
 SENT = "part int, bucket int, data binary"
 REPLY = "bucket int, level int, part int, bits binary, live long"
