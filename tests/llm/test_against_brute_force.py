@@ -121,6 +121,30 @@ def test_op8(spark, texts):
     assert right[1, False] <= 0.01 * right[1, True] and right[0, True] <= 0.1 * max(1, right[0, False])
 
 
+def test_lines_of_mixed_pages_have_labels_of_their_own():
+    """Boilerplate is planted in lines of some pages; only documents are labelled."""
+    rng = np.random.default_rng(2)
+    line = lambda: " ".join(rng.choice(["alpha", "river", "house", "window", "table", "stone"], 12)).capitalize() + "."
+    junk = lambda: " ".join(rng.choice(["HOME", "MENU", "LOGIN", "SHARE", "BUY"], 6)) + " !!! ### $$$"
+    pages, good, want = [], [], []
+    for i in range(240):
+        kinds = [0] * 8 if i % 4 == 0 else [0, 0, 1, 0, 0, 0, 0, 0] if i % 4 == 1 else [1] * 6 if i % 4 == 2 else [0, 1, 1, 1, 1, 1, 1, 0]
+        pages.append("\n".join(junk() if k else line() for k in kinds))
+        good.append(i % 4 < 2)
+        want += kinds
+    lines = quality_rules.Lines(pa.array(pages))
+    crf = quality_rules.LineCrf.trained(lines.features, lines.of_row, lines.chars, np.array(good))
+    marked = crf.viterbi(lines.features, lines.of_row)
+    assert (marked == want).mean() > 0.98
+    share = quality_rules._share(marked == quality_rules.CONTENT, lines.chars, lines.of_row)
+    assert ((share > 0) & (share < 1)).sum() >= 110 and ((share >= crf.least_share) == good).all()
+
+
+def test_equal_lines_are_found_as_bytes():
+    lines = quality_rules.Lines(pa.array(["a\nb\na\n \n \na ", None, "", "a", "\n\nb\nb"]))
+    assert lines.by_row(lines.again).tolist() == [1, 0, 0, 0, 1] and lines.of_row.tolist() == [6, 1, 1, 1, 4]
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     crf = quality_rules.LineCrf(rng.normal(size=(3, 2)), rng.normal(size=(2, 2)))
@@ -129,6 +153,9 @@ def test_viterbi_is_the_best_path():
         value = lambda p, x=x: sum((x @ crf.weights)[i, k] for i, k in enumerate(p)) + sum(crf.moves[a, b] for a, b in zip(p, p[1:], strict=False))
         best = max(np.ndindex(*[2] * n), key=value)
         assert tuple(crf.viterbi(x, np.array([n]))) == best
+    many = [rng.normal(size=(n, 3)) for n in (3, 1, 7, 2, 7, 5)]  # together as on their own
+    alone = [crf.viterbi(x, np.array([len(x)])) for x in many]
+    assert (crf.viterbi(np.concatenate(many), np.array([len(x) for x in many])) == np.concatenate(alone)).all()
 
 
 def test_op3(spark, texts):
@@ -209,12 +236,48 @@ def test_op4_held_out(spark):
     assert auc > 0.85 and sum(r.predicted == 1 and r.toxic == 0 for r in got) <= 0.02 * len(got)
 
 
+def fitted(texts, labels):
+    model = toxicity.FactorizationMachine.trained(texts, labels, float(np.mean(labels)))
+    terms = toxicity.Terms({t: i for i, t in enumerate(model.terms.tolist())})
+    return model, lambda t: model.score(terms(t))
+
+
+def noise(rng, n=6, words=60):
+    return " ".join(f"w{k}" for k in rng.integers(0, words, n))
+
+
 def test_pairs_of_terms_are_learnt():
     """Toxic is the insult together with the group; neither alone."""
-    texts = ["insultx groupy a", "insultx b", "groupy c", "d e"] * 100
-    model = toxicity.FactorizationMachine.trained(texts, [1, 0, 0, 0] * 100, 0.25, rounds=600)
-    score = lambda t: model.score(toxicity.Terms({t: i for i, t in enumerate(model.terms.tolist())})(t))
-    assert score("insultx groupy") > 0.5 > max(score("insultx"), score("groupy"), score("d"))
+    rng = np.random.default_rng(3)
+    _, score = fitted([f"{t} {noise(rng)}" for _ in range(150) for t in ("insultx groupy", "insultx", "groupy", "")], [1, 0, 0, 0] * 150)
+    assert score("insultx groupy w1") > 0.5 > max(score("insultx w2"), score("groupy w3"), score("w4 w5"))
+
+
+def test_terms_that_tell_labels_apart_in_pairs_alone():
+    """No term is more frequent in toxic texts than in others."""
+    rng = np.random.default_rng(1)
+    kinds = ("insultx groupy", "slurz plantq", "insultx plantq", "slurz groupy")
+    model, score = fitted([f"{t} {noise(rng, 20, 200)}" for _ in range(200) for t in kinds], [1, 1, 0, 0] * 200)
+    assert not model.w.any() and model.paired.any()
+    assert [score(f"{t} w3 w4") > 0.5 for t in kinds] == [True, True, False, False]
+
+
+def test_score_is_the_sum_over_pairs():
+    rng = np.random.default_rng(5)
+    model = toxicity.FactorizationMachine(np.arange(6), -0.3, rng.normal(size=6), np.concatenate([rng.normal(size=(4, 3)), np.zeros((2, 3))]))
+    x = {0: 1.0, 1: 2.5, 3: 1.7, 5: 1.0}
+    z = -0.3 + sum(model.w[i] * v for i, v in x.items()) + sum(model.v[i] @ model.v[j] * x[i] * x[j] for i in x for j in x if i < j) / 3
+    assert abs(model.score(x) - 1 / (1 + np.exp(-z))) < 1e-12 and model.score({}) == 1 / (1 + np.exp(0.3))
+
+
+def test_a_term_of_few_rows_has_no_weight():
+    """What the penalty leaves out from the start couldn't have had a weight."""
+    rng = np.random.default_rng(8)
+    rows = [(np.append(rng.choice(40, 8, replace=False), [50] if i in (3, 7) else []).astype(np.int32), np.ones(9 if i in (3, 7) else 8, np.float32)) for i in range(200)]
+    y = np.array([i % 3 == 0 or i in (3, 7) for i in range(200)], float)
+    x = toxicity._Rows(rows, 0)
+    _, w = toxicity._weights(x, y, 2 / 200, 0.0, np.zeros(len(x.terms)), 0.0, 400)
+    assert w[x.terms == 50] == 0 and w.any()
 
 
 def test_op2(spark):
