@@ -70,6 +70,70 @@ def test_paragraphs_and_headings_beside_the_container(before, after, kept):
     assert [x for x in lines if x != LONG] == list(kept) and lines.count(LONG) == 4
 
 
+P = f"<p>{LONG}</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class='page has-sidebar'><article>{P}</article></div>", [LONG]),
+        (f"<div id=content class=no-comments>{P * 3}</div>", [LONG] * 3),
+        (f"<div class='layout with-header'><main>{P}</main></div>", [LONG]),
+        (f"<article><p class=social-science>Social science.</p>{P}</article>", ["Social science.", LONG]),
+        (f"<div><article>{P * 2}</article></div><div><article>{P}<p>Second</p></article></div>", [LONG] * 3 + ["Second"]),
+        (f"<div class=c>{P * 3}</div><div><a href=/x/>link link link link link</a> x</div>", [LONG] * 3),
+        (f"<form id=aspnet>{P * 3}</form><form><p>search, here, for more, and more</p></form>", [LONG] * 3),
+        (f"<div class=x>{P}</div><div id=comments>{P * 9}</div>", [LONG]),
+        (f"<div class=a><section><h2>One</h2>{P * 3}</section><section><h2>Two</h2><p>Short.</p></section></div>", ["One", LONG, LONG, LONG, "Two", "Short."]),
+        (f"<div class='sidebar-wrapper'><div class=box>{P * 5}</div></div>", [LONG] * 5),
+        (f"<div class=story>{P * 3}</div><div class=sidebar><p>{LONG}</p></div><div class='ad-slot-1'>{P}</div>", [LONG] * 3),
+    ],
+)
+def test_names_do_not_cut_the_content(page, text):
+    assert html_extract.main_text(page).split("\n") == text
+
+
+def test_pages_without_article_elements_give_the_same_text(spark):
+    for (page,) in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect():
+        assert html_extract.main_text(re.sub("(</?)article>", r"\1div>", page)) == html_extract.main_text(page)
+
+
+def scored(page):
+    """Points of the elements of a well-formed page, from the definition: names don't count here."""
+    from xml.etree import ElementTree
+
+    root = ElementTree.fromstring(page)
+    up = {c: e for e in root.iter() for c in e}
+    points = {e: 5.0 * (e.tag in ("div", "section", "ul", "p", "blockquote", "li")) for e in root.iter()}
+    for e in root.iter():
+        if e.tag in ("p", "li"):
+            text = " ".join("".join(e.itertext()).split())
+            gain = (len(text) >= 25) + text.count(",") + min(len(text) / 100, 3)
+            for share in (1, 0.5):
+                e = up.get(e)
+                if e is not None:
+                    points[e] += share * gain
+    full = lambda e, of: sum(len("".join(x.itertext())) for x in e.iter(of))
+    return max(((1 - min(1, full(e, "a") / max(1, full(e, "p") + full(e, "li")))) * n, e.get("id")) for e, n in points.items() if e.tag in ("div", "section", "ul") and (full(e, "p") or full(e, "li")))[1]
+
+
+def test_the_best_container_is_that_of_most_points():
+    import random
+
+    r = random.Random(5)
+    for _ in range(60):
+        part = []
+        for i in range(4):
+            kind = r.choice(["div", "section", "ul"])
+            tag = "li" if kind == "ul" else "p"
+            items = "".join(f"<{tag}>{(', ' if r.random() < 0.5 else ' ').join(['word'] * r.randint(1, 60))}{'<a>link text</a>' * r.randint(0, 2)}</{tag}>" for _ in range(r.randint(1, 5)))
+            part.append(f'<{kind} id="b{i}" class="c{i}">{items}</{kind}>')
+        page = f"<html><body>{''.join(part)}</body></html>"
+        want = re.search(f'id="{scored(page)}".*?</(?:div|section|ul)>', page)[0]
+        first = html_extract.SPACES.sub(" ", re.sub("<[^>]*>", "", re.search("<(?:p|li)>(.*?)</(?:p|li)>", want)[1])).strip()
+        assert first in html_extract.main_text(page).split("\n")
+
+
 def one_of_each(spark, texts):
     ids = sorted(texts)
     s = minhash.Shingles(pa.array([texts[i] for i in ids]))
