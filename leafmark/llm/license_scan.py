@@ -1,19 +1,18 @@
 """License scans (10): a positional rare-token index, in DataFrame and SQL functions only.
 
-Each template is a list of words with places, a label and a key phrase that must stand in full. One pass over
+Each template is a list of words with places, a label and a key phrase that must stand in full: the wording of licences' notices
+and grants, and short statements of a licence. One pass over
 the texts finds the words and keeps, for each row, those of the index's vocabulary with their places (the rows'
-own numbers make these a stable table). Over all documents, each vocabulary word gets an IDF. A template is looked
-up in a file by its rare word, the word of its key phrase with the highest IDF; only if the file has it, a posting
+own numbers make these a stable table); COMMON words only where a word that can open a lookup stands too. Over all documents, each
+vocabulary word gets an IDF (COMMON ones weigh nothing). A file's rare words are looked up: a template is
+looked up by the word of its key phrase with the highest IDF; only if the file has it, a posting
 (template, offset) at place p proposes that the template starts at p - offset, and the words' postings are intersected at that start.
 A start counts if the key phrase stands there in full and matched words hold at least LEAST of the template's IDF.
 As no start counts without the rare word, the lookup loses none, whatever else the file holds.
-Base phrases are templates whose every word is key; all their places count.
-
-The SQL still looks up the RARE words of highest IDF of a whole file instead, and so loses templates of files with
-more; where it doesn't, both agree.
+Base phrases are templates whose every word is key; all their places count. The score is the largest share of a template that stands, 1 for a base phrase.
 
 What is shuffled are single words of licences, by (row, template, start), so that a file full of licence words
-or a licence that every file has is spread like any other.
+or a licence that every file has is spread like any other. Rows without a word that opens a lookup are dropped before.
 
 Defined cases: null or empty text has no words and no labels; rows that repeat an id are rows of their own;
 an empty table gives an empty result; other columns are not read.
@@ -21,14 +20,16 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmark.llm import common
 
 #: Phrase and label; fixed.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: Template, key phrase, label.
+#: Template, key phrase, label; fixed: wording of public licences, in lower case and without marks.
 TEMPLATES = (
     ("this work is licensed under the gnu general public license version 3", "gnu general public license version 3", "gpl-3.0"),
     ("this work is licensed under the gnu general public license version 2", "gnu general public license version 2", "gpl-2.0"),
@@ -44,10 +45,69 @@ TEMPLATES = (
     ("mozilla public license version 2 0", "mozilla public license", "mpl"),
     ("dedicated to the public domain", "the public domain", "public-domain"),
     ("all rights reserved", "all rights reserved", "all-rights-reserved"),
-)
-#: Too common to be worth a posting unless a key phrase needs them.
-COMMON = frozenset("a is of the this to".split())
-RARE, LEAST = 4, 0.5
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit",
+    ),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "distribute this software for any purpose with or without fee is hereby granted", "isc",
+    ),
+    (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "redistribution and use in source and binary forms with or without modification are permitted", "bsd",
+    ),
+    (
+        "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "may be used to endorse or promote products derived from this software without specific prior written permission", "bsd-3-clause",
+    ),
+    (
+        "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+        "you may obtain a copy of the license at http www apache org licenses license 2 0", "apache-2.0",
+    ),
+    (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "gnu general public license as published by the free software foundation either version 3 of the license", "gpl-3.0",
+    ),
+    (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+        "gnu general public license as published by the free software foundation either version 2 of the license", "gpl-2.0",
+    ),
+    (
+        "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+        "gnu lesser general public license as published by the free software foundation", "lgpl",
+    ),
+    (
+        "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+        "gnu affero general public license as published by the free software foundation", "agpl",
+    ),
+    (
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
+        "subject to the terms of the mozilla public license v 2 0", "mpl",
+    ),
+    (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary",
+        "free and unencumbered software released into the public domain", "unlicense",
+    ),
+    (
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software",
+        "any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "boost",
+    ),
+    (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
+        "in no event will the authors be held liable for any damages arising from the use of this software", "zlib",
+    ),
+    (
+        "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+        "waived all copyright and related or neighboring rights", "cc0",
+    ),
+    ("this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike", "cc-by-sa"),
+    ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial", "cc-by-nc"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license", "the eclipse public license", "epl"),
+)
+#: Weigh nothing and open no lookup; they have postings where a key phrase needs them.
+COMMON = frozenset("a all and any are as at be by can do for has if in is it its may no nor not of on one or so that the this to use was whom will with you your".split())
+LEAST = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -69,20 +129,29 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spark = docs.sparkSession
     index = spark.createDataFrame(postings(), "template int, label string, offset int, word string, is_key boolean, is_base boolean")
     vocabulary = sorted({p[3] for p in postings()})
-    found = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), F.lit(1)).alias("words"))
-    # lower() is more than A-Z, so what it lets through is looked at again
-    near = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: F.lower(x["word"]).isin(vocabulary))
-    exact = F.filter(F.transform("near", lambda x: F.struct(x["at"].alias("at"), F.translate(x["word"], UPPER, LOWER).alias("word"))), lambda x: x["word"].isin(vocabulary))
-    rows = found.select("id", F.size("words").cast("long").alias("n_words"), near.alias("near")).select(F.monotonically_increasing_id().alias("row"), "id", "n_words", exact.alias("hits"))
+    telling = [w for w in vocabulary if w not in COMMON]
+    opening = sorted({p[3] for p in postings() if p[4]} - COMMON)
+    words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), F.lit(1))
+    found = docs.select(F.col(id_col).alias("id"), words.alias("words"))
+
+    def places(of: list[str]) -> Column:
+        """Words among these, with their places. lower() is more than A-Z, so what it lets through is looked at again."""
+        near = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: F.lower(x["word"]).isin(of))
+        return F.filter(F.transform(near, lambda x: F.struct(x["at"].alias("at"), F.translate(x["word"], UPPER, LOWER).alias("word"))), lambda x: x["word"].isin(of))
+
+    rows = found.select("id", F.size("words").cast("long").alias("n_words"), "words", places(telling).alias("hits"))
+    rows = rows.withColumn("opens", F.exists("hits", lambda x: x["word"].isin(opening)))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", "n_words", "opens", F.when(F.col("opens"), places(vocabulary)).otherwise(F.col("hits")).alias("hits"))
     rows = common.written(rows, "license-words")
     # at most one row for each word of the vocabulary
     n_docs = rows.count()
-    df = rows.select(F.explode(F.array_distinct("hits.word")).alias("word")).groupBy("word").count()
+    df = rows.select(F.explode(F.array_distinct("hits.word")).alias("word")).filter(~F.col("word").isin(sorted(COMMON))).groupBy("word").count()
     idf = {r["word"]: r["idf"] for r in df.select("word", (F.log((F.lit(n_docs) + 1.0) / (F.col("count") + 1.0)) + 1.0).alias("idf")).collect()}
     weights = spark.createDataFrame([(w, idf[w]) for w in sorted(idf)], "word string, idf double")
-    hits = rows.filter(F.size("hits") > 0).select("row", F.array_distinct("hits.word").alias("has"), F.explode("hits").alias("hit")).select("row", "has", F.col("hit.at").alias("at"), F.col("hit.word").alias("word"))
-    weighed = index.join(F.broadcast(weights), "word", "left").fillna(0.0, ["idf"])
+    unseen = F.when(F.col("word").isin(sorted(COMMON)), 0.0).otherwise(math.log(n_docs + 1.0) + 1.0)
+    weighed = index.join(F.broadcast(weights), "word", "left").withColumn("idf", F.coalesce("idf", unseen))
     whole = weighed.groupBy("template").agg(F.sum("idf").alias("all_idf"), F.count_if("is_key").alias("all_keys"), F.max_by("word", F.when(F.col("is_key"), F.struct("idf", "word"))).alias("rare"))
+    hits = rows.filter("opens").select("row", F.array_distinct("hits.word").alias("has"), F.explode("hits").alias("hit")).select("row", "has", F.col("hit.at").alias("at"), F.col("hit.word").alias("word"))
     placed = hits.join(F.broadcast(weighed.join(whole.select("template", "rare"), "template")), "word").filter(F.expr("array_contains(has, rare)")).groupBy("row", "template", (F.col("at") - F.col("offset")).alias("start")).agg(
         F.sum("idf").alias("idf"), F.count_if("is_key").alias("keys"), F.first("label").alias("label"), F.first("is_base").alias("is_base")
     )
@@ -91,8 +160,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     base = F.when(F.col("is_base"), F.col("start")).cast("long")
     by_row = placed.groupBy("row").agg(
         F.count(base).alias("n_base"), F.min(base).alias("first_word"), F.max(base).alias("last_word"), F.collect_set(F.when(F.col("is_base"), F.col("label"))).alias("b"),
-        F.collect_set("label").alias("l"), F.max(F.when(~F.col("is_base"), F.least("share", F.lit(1.0)))).alias("score"),
-    )
+        F.collect_set("label").alias("l"), F.max(F.when(F.col("is_base"), 1.0).otherwise(F.least("share", F.lit(1.0)))).alias("score"),
+    )
     text = lambda c: F.coalesce(F.array_join(F.array_sort(c), ","), F.lit(""))
     out = rows.select("row", "id", "n_words").join(by_row, "row", "left")
     return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word", text("b").alias("base_labels"), text("l").alias("labels"), F.coalesce(F.round("score", 6), F.lit(0.0)).alias("score"))
@@ -102,30 +171,36 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(common.table(spark, sf_dir, "documents"))
 
 
-def _values() -> str:
-    return ", ".join(f"({t}, '{label}', {o}, '{w}', {key}, {base})" for t, label, o, w, key, base in postings())
-
-
-#: Over duckdb's views of the same tables.
+_TEXTS = ",\n  ".join(f"({t}, '{phrase}', '{key}', '{label}')" for t, (phrase, key, label) in enumerate([(p, p, x) for p, x in BASE] + list(TEMPLATES)))
+_COMMON = ", ".join(f"'{w}'" for w in sorted(COMMON))
+#: Over duckdb's views of the same tables; from the templates' texts and the definition: a template stands where its key phrase stands in full and
+#: words that hold half of its IDF are at their places.
 SQL = rf"""
-WITH idx(template, label, off, word, is_key, is_base) AS (VALUES {_values()}),
+WITH texts(template, phrase, key, label) AS (VALUES
+  {_TEXTS}
+), split AS (
+  SELECT *, string_split(phrase, ' ') AS p, string_split(key, ' ') AS q, template < 4 AS is_base,
+         len(string_split(trim(substr(phrase, 1, strpos(' ' || phrase || ' ', ' ' || key || ' ') - 1)), ' ')) - CASE WHEN starts_with(phrase || ' ', key || ' ') THEN 1 ELSE 0 END AS first
+  FROM texts
+), every AS (SELECT template, label, is_base, first, len(q) AS all_keys, generate_subscripts(p, 1) - 1 AS off, unnest(p) AS word FROM split),
+idx AS (SELECT *, off >= first AND off < first + all_keys AS is_key FROM every WHERE word NOT IN ({_COMMON}) OR (off >= first AND off < first + all_keys)),
 d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM documents),
 w AS (SELECT rid, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS word FROM d),
 hits AS (SELECT * FROM w WHERE word IN (SELECT word FROM idx)),
-idf AS (SELECT word, ln(((SELECT count(*) FROM d)::DOUBLE + 1) / (count(DISTINCT rid)::DOUBLE + 1)) + 1 AS idf FROM hits GROUP BY word),
-ranked AS (SELECT rid, word, row_number() OVER (PARTITION BY rid ORDER BY idf DESC, word) AS k FROM (SELECT DISTINCT rid, word FROM hits) JOIN idf USING (word)),
-weighed AS (SELECT idx.*, coalesce(idf, 0) AS idf FROM idx LEFT JOIN idf USING (word)),
-whole AS (SELECT template, sum(idf) AS all_idf, count(*) FILTER (is_key) AS all_keys FROM weighed GROUP BY template),
+idf AS (SELECT word, ln(((SELECT count(*) FROM d)::DOUBLE + 1) / (count(DISTINCT rid)::DOUBLE + 1)) + 1 AS idf FROM hits WHERE word NOT IN ({_COMMON}) GROUP BY word),
+weighed AS (SELECT idx.*, coalesce(idf, CASE WHEN word IN ({_COMMON}) THEN 0 ELSE ln((SELECT count(*) FROM d)::DOUBLE + 1) + 1 END) AS idf FROM idx LEFT JOIN idf USING (word)),
+whole AS (SELECT template, sum(idf) AS all_idf FROM weighed GROUP BY template),
+near AS (SELECT DISTINCT rid, template FROM hits JOIN weighed USING (word) WHERE is_key AND word NOT IN ({_COMMON})),
 placed AS (
-  SELECT hits.rid, template, label, is_base, pos - off AS start, sum(idf) AS idf, count(*) FILTER (is_key) AS keys, bool_or(k <= {RARE}) AS proposed
-  FROM hits JOIN weighed USING (word) JOIN ranked ON ranked.rid = hits.rid AND ranked.word = hits.word GROUP BY ALL
+  SELECT hits.rid, weighed.template, label, is_base, all_keys, pos - off AS start, sum(idf) AS idf, count(*) FILTER (is_key) AS keys
+  FROM hits JOIN weighed USING (word) JOIN near ON near.rid = hits.rid AND near.template = weighed.template GROUP BY ALL
 ), good AS (
   SELECT placed.*, placed.idf / all_idf AS share FROM placed JOIN whole USING (template)
-  WHERE keys = all_keys AND (is_base OR (proposed AND placed.idf / all_idf >= {LEAST}))
+  WHERE keys = all_keys AND (is_base OR placed.idf / all_idf >= {LEAST})
 ), by_row AS (
   SELECT rid, count(*) FILTER (is_base) AS n_base, min(start) FILTER (is_base) AS first_word, max(start) FILTER (is_base) AS last_word,
          string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
-         max(least(share, 1)) FILTER (NOT is_base) AS score
+         max(CASE WHEN is_base THEN 1 ELSE least(share, 1) END) AS score
   FROM good GROUP BY rid
 )
 SELECT doc_id, len(l) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,

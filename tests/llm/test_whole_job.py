@@ -52,6 +52,29 @@ def test_a_file_of_many_licences_has_all_of_them(spark):
     assert got[3].labels == "mit" and got[3].score == 1 and got[4].labels == got[5].labels == ""
 
 
+def test_licence_texts_and_scores(spark):
+    grant = license_scan.TEMPLATES[14][0]
+    words = grant.split()
+    edited = " ".join("x" if i in (30, 41, 55) else w for i, w in enumerate(words))  # not in the key phrase
+    broken = " ".join("x" if i == 4 else w for i, w in enumerate(words))
+    half = " ".join(words[:20])
+    texts = ["Copyright. " + grant.capitalize() + ".", edited, broken, half, "MIT License", "the public domain", "the " * 50, None, "Licensed under the Apache License, Version 2.0 " + license_scan.TEMPLATES[18][0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    assert [got[i].labels for i in range(9)] == ["mit", "mit", "", "", "mit", "public-domain", "", "", "apache,apache-2.0"]
+    assert got[0].score == 1 and 0.5 < got[1].score < 1 and got[2].score == got[3].score == 0 and got[4].score == 1 and got[4].n_base == 1 and 0.5 <= got[5].score < 1
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    rows = con.execute(license_scan.SQL)
+    names = [d[0] for d in rows.description]
+    for r in rows.fetchall():
+        for c, x in zip(names, r, strict=True):
+            assert got[r[0]][c] == x or abs(got[r[0]][c] - x) < 1e-6
+
+
 LONG = "A paragraph of some length, with commas, more of them, and words enough to count for the container that holds it."
 
 
