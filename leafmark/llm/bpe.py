@@ -210,26 +210,50 @@ class Encoder:
 
 
 class Utf8Stream:
-    """Characters of a stream of bytes; its state is the beginning of a character that has not ended.
-    Bytes that can't begin or continue a character come out as U+FFFD."""
+    """Characters of a stream of bytes, by a state machine. Its state are the bytes that the open character still needs, the
+    bounds of the next one, and the bits read so far; a byte out of bounds ends the open character as U+FFFD and begins anew.
+    Bytes between the first and the last character border of a chunk leave the state as it is and are decoded at once."""
 
     def __init__(self) -> None:
-        self.open = b""
+        self.need, self.low, self.high, self.bits = 0, 0x80, 0xBF, 0
+
+    def step(self, byte: int) -> str:
+        if self.need:
+            if self.low <= byte <= self.high:
+                self.need, self.low, self.high, self.bits = self.need - 1, 0x80, 0xBF, self.bits << 6 | byte & 0x3F
+                return "" if self.need else chr(self.bits)
+            self.need = 0
+            return "\ufffd" + self.step(byte)
+        self.low, self.high = 0x80, 0xBF
+        if byte < 0x80:
+            return chr(byte)
+        if 0xC2 <= byte <= 0xDF:
+            self.need, self.bits = 1, byte & 0x1F
+        elif 0xE0 <= byte <= 0xEF:
+            self.need, self.bits = 2, byte & 0x0F
+            self.low, self.high = 0xA0 if byte == 0xE0 else 0x80, 0x9F if byte == 0xED else 0xBF
+        elif 0xF0 <= byte <= 0xF4:
+            self.need, self.bits = 3, byte & 0x07
+            self.low, self.high = 0x90 if byte == 0xF0 else 0x80, 0x8F if byte == 0xF4 else 0xBF
+        else:
+            return "\ufffd"
+        return ""
 
     def feed(self, chunk: bytes, final: bool = False) -> str:
-        data = self.open + chunk
-        end = len(data)
-        if not final:
-            for back in range(1, min(3, end) + 1):
-                lead = data[end - back]
-                if 0xC2 <= lead <= 0xF4:
-                    if (2 if lead < 0xE0 else 3 if lead < 0xF0 else 4) > back:
-                        end -= back
-                    break
-                if lead < 0x80 or lead >= 0xC0:
-                    break
-        self.open = data[end:]
-        return data[:end].decode("utf-8", "replace")
+        out, at, end = [], 0, len(chunk)
+        while at < end and self.need:
+            out.append(self.step(chunk[at]))
+            at += 1
+        for back in range(1, min(3, end - at) + 1):  # a first byte among the last three may begin an open character
+            if chunk[end - back] >= 0xC2:
+                end -= back
+                break
+        out.append(chunk[at:end].decode("utf-8", "replace"))
+        out += map(self.step, chunk[end:])
+        if final and self.need:
+            self.need = 0
+            out.append("\ufffd")
+        return "".join(out)
 
 
 def ranks_of(path: str) -> tuple[dict[bytes, int], dict[str, int]]:

@@ -20,6 +20,7 @@ from leafmark.llm import ann, bpe, common, html_extract, minhash, packing, quali
 SF = f"{DATA}/sf0.01"
 RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 BPE = bpe.encoder(RANKS)
+HF = Tokenizer.from_file(JSON)
 TIKTOKEN = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks_of(RANKS)[0], special_tokens={})
 
 
@@ -52,6 +53,14 @@ def test_utf8_stream_of_broken_bytes():
     assert s.feed(b"a\xe6") == "a" and s.feed(b"\xbc\xa2\xff") == "漢�" and s.feed(b"\xe6", True) == "�"
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from([0x41, 0x80, 0x8F, 0x90, 0x9F, 0xA0, 0xBF, 0xC1, 0xC2, 0xDF, 0xE0, 0xE6, 0xED, 0xEF, 0xF0, 0xF3, 0xF4, 0xF5]), st.integers(0, 255)), max_size=14), st.integers(1, 6))
+def test_utf8_stream_of_any_bytes(data, n):
+    data, s, one = bytes(data), bpe.Utf8Stream(), bpe.Utf8Stream()
+    assert "".join(s.feed(data[i : i + n]) for i in range(0, len(data), n)) + s.feed(b"", True) == data.decode("utf-8", "replace")
+    assert "".join(map(one.step, data)) + one.feed(b"", True) == data.decode("utf-8", "replace")
+
+
 def test_op7(spark, texts):
     for r in registry.queries()["op7_byte_bpe"](spark, SF).collect():
         ids = TIKTOKEN.encode_ordinary(texts[r.doc_id])
@@ -78,6 +87,15 @@ def test_op9(spark, texts):
     assert len(used) <= 1.01 * max(large, whole) + 1
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(["<|endoftext|>", "<|padding|>", " <|endoftext|>x", "\n\n", "  ", "don't", " 1234", "\x1c", "\u00e9", "漢字"]), st.text(max_size=8)), max_size=8))
+def test_packing_ids_are_those_of_tokenizers(parts):
+    """Special tokens in the text included."""
+    text = "".join(parts).encode("utf-8", "replace").decode()
+    ids = packing.tokenizer(JSON).encode_to_numpy(text, allowed_special="all", disallowed_special=()).tolist() if text else []
+    assert ids == HF.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 60), max_size=200))
 def test_packing_plan(lengths):
