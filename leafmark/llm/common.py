@@ -6,7 +6,6 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,26 +41,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Folders of tables that results still read: deleted by `cleaned`, at the latest when the driver's process ends.
-_WRITTEN: list[str] = []
+#: Folders of tables that results may still read, and whether the catalog knows them.
+_WRITTEN: dict[str, bool] = {}
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
+def new_folder(spark: SparkSession, name: str, catalog: bool = False) -> str:
     if not _WRITTEN:
-        atexit.register(lambda: delete(0))
-    _WRITTEN.append(f"{shared_dir(spark)}/leafmark/{name}-{uuid.uuid4().hex}")
-    return _WRITTEN[-1]
+        atexit.register(delete, 0)
+    at = f"{shared_dir(spark)}/leafmark/{name}-{uuid.uuid4().hex}"
+    _WRITTEN[at] = catalog
+    return at
+
+
+def mark() -> int:
+    return len(_WRITTEN)
 
 
-def delete(since: int, but: str = "") -> None:
-    """Deletes the folders that were made since then, where a session is still there to do it."""
+def delete(since: int, keep_last: bool = False) -> None:
+    """Deletes the folders that were made since a mark, for callers that have written what they made of them; all that is left goes when
+    the driver's process ends with a session."""
     spark = SparkSession.getActiveSession()
     if spark is None or spark.sparkContext._jsc is None:
         return
-    for at in [x for x in _WRITTEN[since:] if x != but]:
+    for at in list(_WRITTEN)[since : len(_WRITTEN) - keep_last]:
         path = spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        _WRITTEN.remove(at)
+        if _WRITTEN.pop(at):
+            spark.sql(f"DROP TABLE IF EXISTS leafmark_{at[-32:]}")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -72,18 +78,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-@contextmanager
-def cleaned() -> Iterator[None]:
-    """What is written inside is deleted after success, but for the table that was written last."""
-    since = len(_WRITTEN)
-    yield
-    delete(since, _WRITTEN[-1] if len(_WRITTEN) > since else "")
-
-
 def dealt(df: DataFrame, name: str, key: str, files: int) -> DataFrame:
     """Like `written`, bucketed by a column: what groups by it later reads the table without a shuffle."""
     spark = df.sparkSession
-    at = new_folder(spark, name)
+    at = new_folder(spark, name, catalog=True)
     table_name = f"leafmark_{at[-32:]}"
     df.repartition(files, key).write.format("parquet").bucketBy(files, key).sortBy(key).option("path", at).saveAsTable(table_name)
     return spark.table(table_name)

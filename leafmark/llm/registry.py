@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmark.llm import ann, bpe, html_extract, license_scan, line_dedup, minhash, packing, quality_rules, substring_dedup, toxicity
+from leafmark.llm import ann, bpe, html_extract, license_scan, line_dedup, minhash, packing, pipeline, quality_rules, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,10 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_license_scan": license_scan.op10_license_scan,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     sql = {"op1_line_dedup": line_dedup.SQL, "op5_substring_dedup": substring_dedup.SQL, "op10_license_scan": license_scan.SQL}
-    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return sql | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})
