@@ -5,45 +5,36 @@ from __future__ import annotations
 from functools import cache
 from itertools import combinations
 
-#: Fixed values. A word, then the endings that it also occurs with; a final e goes before a vowel
-#: (words of three letters or more).
-LEXEMES = """
-the be/en/ing to of and a in that have/ing i it for not on with he as you do/es/ing at this but his
-by from they we say/s/ing her she or an will my one all would there their what so up out
-if about who get/s which go/es/ne me when make/s/ing can like time no just him know/s/n take/s/n people
-into year/s your good some could them see/s/n other than then now look/s/ed/ing only come/s/ing its over
-think/s also back after use/s/ed/ing two how our work/ing first well way even new want/s/ed/ing because any
-these give day/s most us is was are were has had did got/ten knew made said saw thought came took went
-find/s found ask/s/ed seem/s/ed feel/s felt try/ing tries tried leave/s left call/s/ed
-more less through during before above below between both each every same here where why whom whose those
-very really quite rather too much many few little onto upon around toward against without within across along
-always never often sometimes usually rarely already still yet once
-nothing something anything everything nobody somebody anybody everybody
-business company customer/s market/s/ing sale/s sell/ing/er buyer/s product/s service/s money price/s cost/s
-profit/s/able loss/es value/s offer/s ad/s advertising advertisement/s campaign/s copy headline/s story stories
-message letter/s book/s page/s chapter/s article/s client/s prospect/s lead/s list/s audience/s media
-order/s buying purchase/s result/s response/s test/s/ing/ed strategy strategies plan/s planning target/s
-promote promotion/s/al yes no maybe please thank/s sorry hello hi hey okay right wrong true false
-write/s wrote written read/s/ing send/s/ing sent man men woman women child/ren person world life
-week/s month/s home house family mind body head hand/s eye/s word/s name/s thing/s
+#: The words that count as common unless a caller gives others.
+COMMON_WORDS = """
+a about above across ad ads advertisement advertisements advertising after against all along already also always an
+and any anybody anything are around article articles as ask asked asks at audience audiences back be because been
+before being below between body book books both business but buyer buyers buying by call called calls came campaign
+campaigns can chapter chapters child children client clients come comes coming company copy cost costs could customer
+customers day days did do does doing during each even every everybody everything eye eyes false family feel feels felt
+few find finds first for found from get gets give go goes gone good got gotten had hand hands has have having he head
+headline headlines hello her here hey hi him his home house how i if in into is it its just knew know known knows lead
+leads leave leaves left less letter letters life like list lists little look looked looking looks loss losses made
+make makes making man many market marketing markets maybe me media men message mind money month months more most much
+my name names never new no nobody not nothing now of offer offers often okay on once one only onto or order orders
+other our out over page pages people person plan planning plans please price prices product products profit profitable
+profits promote promotion promotional promotions prospect prospects purchase purchases quite rarely rather read
+reading reads really response responses result results right said sale sales same saw say saying says see seem seemed
+seems seen sees sell seller selling send sending sends sent service services she so some somebody something sometimes
+sorry still stories story strategies strategy take taken takes target targets test tested testing tests than thank
+thanks that the their them then there these they thing things think thinks this those thought through time to too took
+toward tried tries true try trying two up upon us use used uses using usually value values very want wanted wanting
+wants was way we week weeks well went were what when where which who whom whose why will with within without woman
+women word words work working world would write writes written wrong wrote year years yes yet you your
 """
 
 #: What is misread as what, in the order in which they are tried.
 CONFUSIONS = (("rn", "m"), ("cl", "d"), ("vv", "w"), ("0", "o"), ("1", "l"))
 
 
-def _with_ending(base: str, ending: str) -> str:
-    drops = len(base) > 2 and base.endswith("e") and not base.endswith("ee") and ending[0] in "aeiou"
-    return (base[:-1] if drops else base) + ending
-
-
 @cache
 def common_words() -> frozenset[str]:
-    out = set()
-    for lexeme in LEXEMES.split():
-        base, *endings = lexeme.split("/")
-        out |= {base, *(_with_ending(base, e) for e in endings)}
-    return frozenset(out)
+    return frozenset(COMMON_WORDS.split())
 
 
 def corrections(words: frozenset[str] | None = None) -> dict[str, str]:

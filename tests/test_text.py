@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import model
@@ -17,6 +18,7 @@ def column(spark, values, make, kind="string"):
 
 def test_vocabulary_is_closed():
     assert len(common_words()) == 370
+    assert hashlib.sha256(" ".join(sorted(common_words())).encode()).hexdigest() == "9c9e44facb262497f8b93520efc9f9f2391bad408c2f5c18aecf0b7f14b1d72f"
     assert len(corrections()) == 440
     assert sum(k[0].isdigit() for k in corrections()) == 38
 
