@@ -8,6 +8,7 @@ import sys
 from pathlib import Path
 
 from leafmark.operators import export
+from leafmark.sources import ocr
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -43,13 +44,19 @@ def main(argv: list[str] | None = None) -> int:
     if not Path(source).is_dir():
         print(f"not a folder: {source}", file=sys.stderr)
         return 1
+    kinds = {p.suffix.lower()[1:] for p in Path(source).iterdir()} & {"pdf", "epub"}
+    lacking = ocr.missing(kinds | ({"ocr"} if a.force_ocr and "pdf" in kinds else set()))
+    if lacking:
+        print("missing libraries: " + ", ".join(lacking), file=sys.stderr)
+        return 2
     from pyspark.sql import SparkSession
 
     from leafmark.plans.run import run_folder
 
     spark = SparkSession.builder.master(f"local[{a.workers}]").appName("leafmark").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate()
     out = a.output or str(Path(source) / "extracted")
-    results = run_folder(spark, source, out, a.force_ocr, a.skip_existing)
+    reader = ocr.of_folder(str(Path(source).resolve())) if "pdf" in kinds and not ocr.missing({"pdf", "ocr"}) else None
+    results = run_folder(spark, source, out, a.force_ocr, a.skip_existing, ocr=reader)
     if results is None:
         print("No PDF or EPUB files found.")
         return 1

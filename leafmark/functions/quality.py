@@ -28,23 +28,31 @@ def unreadable(n: Column | int, reason: Column | str) -> Column:
     return _quality(F.lit(0.0), lit(n), F.lit(0.0), F.lit(1.0), F.lit(0.0), lit(reason))
 
 
+def _unused(df: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def with_quality(df: DataFrame, text_col: str, out: str, words: Iterable[str] | None = None) -> DataFrame:
     """df with a struct of the score and its parts. words: another vocabulary than the default."""
     known = sorted(common_words() if words is None else words)
     text = T.text_of(text_col)
-    df = df.withColumn("__n", F.size(T.tokens(text))).withColumn("__alpha", T.alpha_tokens(text))
-    n, m = F.col("__n"), F.size("__alpha")
-    ratio = F.size(F.filter("__alpha", lambda x: x.isin(known))) / m
+    names = [_unused(df, x) for x in ("n", "alpha", "r", "g", "l")]
+    df = df.withColumn(names[0], F.size(T.tokens(text))).withColumn(names[1], T.alpha_tokens(text))
+    n, m = F.col(names[0]), F.size(names[1])
+    ratio = F.size(F.filter(names[1], lambda x: x.isin(known))) / m
     garbage = (F.length(text) - F.length(T.strip_garbage(text))) / F.greatest(F.length(text), F.lit(1))
-    length = F.length(F.array_join("__alpha", "")) / m
-    df = df.withColumn("__r", F.when(m > 0, ratio)).withColumn("__g", garbage).withColumn("__l", F.when(m > 0, length))
-    r, g, a = F.col("__r"), F.col("__g"), F.col("__l")
+    length = F.length(F.array_join(names[1], "")) / m
+    df = df.withColumn(names[2], F.when(m > 0, ratio)).withColumn(names[3], garbage).withColumn(names[4], F.when(m > 0, length))
+    r, g, a = (F.col(x) for x in names[2:])
     fit = F.when((a < 2.5) | (a > 9), 0.3).when((a < 3) | (a > 7), 0.7).otherwise(1.0)
     score = 60 * r + 20 * fit - 100 * g + F.least(F.lit(20.0), 5 * (n / F.lit(50)))
     score = F.when((r < 0.15) & (a < 3.0) & (n > 30), score * 0.1).otherwise(score)
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))
     quality = F.when(n == 0, unreadable(0, "empty")).when(m == 0, unreadable(n, "no alpha tokens")).otherwise(_quality(score, n, r, g, a, F.lit("")))
-    return df.withColumn(out, quality).drop("__n", "__alpha", "__r", "__g", "__l")
+    return df.withColumn(out, quality).drop(*names)
 
 
 def grade(score: Column) -> Column:

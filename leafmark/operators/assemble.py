@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmark import scratch
 from leafmark.functions import text as T
 from leafmark.functions.correct import correct_misread_words
 from leafmark.functions.quality import with_quality
@@ -17,9 +17,9 @@ def page_chunks(judged: DataFrame, rules: Rules = RULES, keep: bool = True) -> D
     """(doc, page_num, method, score, ocr_error, status, chunk) of arbitrated pages. status: extracted, skipped, or empty
     (nothing left after cleaning: skipped without a chunk).
 
-    Judged pages are read twice, for running lines and for the chunks. keep: they are kept on the executors' disks in
-    between, so that scoring runs once (a lost executor's pages are scored again); spark.catalog.clearCache() frees them."""
-    judged = judged.persist(StorageLevel.DISK_ONLY) if keep else judged
+    Judged pages are read twice, for running lines and for the chunks. keep: they are written to the shared folder in
+    between, so that scoring runs once."""
+    judged = scratch.written(judged.select("doc", "page_num", "method", "text", "score", "ocr_error"), "judged-pages") if keep else judged
     df = with_running_lines(judged, rules)
     out = (F.col("method") == "none") | (F.col("score.score") < rules.least_score)
     clean = T.drop_lines(F.col("text"), F.col("boilerplate"))

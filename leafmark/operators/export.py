@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import shutil
+import tempfile
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -22,16 +23,60 @@ class Target:
     prompt_template: str
 
 
-_ASK = "Package: {name}\nAbout: {description}\nFolder: {package_root}\n\nFiles:\n{files_abs_list}\n\n"
+_ASK = """# {title}
+
+The files of this package are in `{{package_root}}/{subdir}/`:
+
+{{files_abs_list}}
+
+- Name: {{name}}
+- What it is about: {{description}}
+
+## What to do
+
+{steps}
+"""
+
+
+def _template(title: str, subdir: str, *steps: str) -> str:
+    return _ASK.format(title=title, subdir=subdir, steps="\n".join(f"{n}. {step}" for n, step in enumerate(steps, 1)))
+
+
 TARGETS = {
     t.id: t
     for t in (
-        Target("claude-skill", "Claude skill", "skill-", "references", _ASK + "Write a skill from these files. SKILL.md opens with a header of name and description, then says when to use it and which file answers what."),
-        Target("chatgpt-gpt", "Custom GPT", "gpt-", "knowledge", _ASK + 'Write the instructions of an assistant that answers from these knowledge files, four conversation starters, and settings as JSON: {{"name": "...", "instructions": "..."}}.'),
-        Target("cursor-rules", "Cursor rules", "cursor-", "docs", _ASK + "Write a rules file for an editor: what of these documents a programmer must follow, and where each rule comes from."),
-        Target("gemini-cli", "Gemini CLI extension", "gemini-", "references", _ASK + "Write a command-line extension that works from these references: its manifest, its context file with role, tasks and limits, and when to open which file."),
+        Target("claude-skill", "Claude skill", "skill-", "references", _template(
+            "Make a skill of these references", "references",
+            "Read every file listed above and note what each of them can answer.",
+            "Write `{package_root}/SKILL.md`. It begins with a YAML header that holds `name` ({name}), `description`, and `allowed-tools` where the skill needs any.",
+            "Say in its first paragraph when the skill applies, with words that a user would really write.",
+            "List the references, one line each, with the questions that a reader should open them for.",
+            "Change nothing in `references/`: it is what the skill knows. The folder can then be moved to where skills are installed.",
+        )),
+        Target("chatgpt-gpt", "Custom GPT", "gpt-", "knowledge", _template(
+            "Make a custom GPT of this knowledge", "knowledge",
+            "Open the editor for custom GPTs and give it the name and the description above.",
+            "Write its instructions in three or four paragraphs: it answers from the knowledge files first, says which passage an answer rests on, and admits what they don't cover.",
+            "Propose three conversation starters that a user of this material would type.",
+            "Upload all files of `knowledge/`. Leave web search and pictures off unless the material calls for them.",
+            'Check the settings as JSON before saving: {{"name": "{name}", "description": "...", "instructions": "..."}}.',
+        )),
+        Target("cursor-rules", "Cursor rules", "cursor-", "docs", _template(
+            "Make an editor rule of these docs", "docs",
+            "In the project that the rule is for, create `.cursor/rules/{name}.md`.",
+            'Begin it with a YAML header: `description` as above, `globs` (start with `["**/*"]` and narrow it to the files that the docs speak of), `alwaysApply: false`.',
+            "Say in a few sentences what the rule covers and when it should be shown.",
+            "For each doc, give its path and one line on what a programmer finds there.",
+            "The docs may stay where they are, or be copied into the project; keep the paths of the rule right.",
+        )),
+        Target("gemini-cli", "Gemini CLI extension", "gemini-", "references", _template(
+            "Make a command-line extension of these references", "references",
+            "Write `{package_root}/GEMINI.md`: which field of knowledge this is, which requests should bring it up, and for each reference a line on what is in it.",
+            'To install it as an extension, add `{package_root}/gemini-extension.json`: {{"name": "{name}", "version": "0.1.0", "contextFileName": ["GEMINI.md"]}}.',
+            "Either start the command line in this folder, or move the folder to where extensions are installed.",
+        )),
     )
-}
+}
 
 
 def targets(spark: SparkSession) -> DataFrame:
@@ -63,24 +108,29 @@ def slug_of(name: str) -> str:
 
 
 def build_package(target_id: str, name: str, description: str, source_files: list[Path], output_root: Path) -> Path:
-    """Copies files flat to <prefix><slug>/<subdir> and writes PROMPT.md. An existing package is replaced; of files of one
-    name the last stays, the list shows all."""
+    """Copies files flat to <prefix><slug>/<subdir> and writes PROMPT.md. Nothing is touched unless all sources are files. The package is made
+    beside the old one and takes its place when it is whole; of files of one name the last stays, the list shows all."""
     target = TARGETS[target_id]
-    if not source_files:
-        raise ValueError("no files to package")
-    for f in source_files:
-        if not Path(f).exists():
-            raise FileNotFoundError(f)
-    root = Path(output_root) / (target.folder_prefix + slug_of(name))
-    if root.exists():
-        shutil.rmtree(root)
-    into = root / target.files_subdir
-    into.mkdir(parents=True)
-    copied = [Path(shutil.copy2(f, into / Path(f).name)) for f in source_files]
-    prompt = target.prompt_template.format(name=name, description=description, package_root=root.resolve(), files_abs_list="\n".join(f"- `{p.resolve()}`" for p in copied))
-    (root / "PROMPT.md").write_text(prompt, encoding="utf-8")
+    sources = [Path(f) for f in source_files]
+    missing = [str(f) for f in sources if not f.is_file()]
+    if missing or not sources:
+        raise FileNotFoundError(", ".join(missing)) if missing else ValueError("no files to package")
+    root = Path(output_root).resolve() / (target.folder_prefix + slug_of(name))
+    root.parent.mkdir(parents=True, exist_ok=True)
+    with tempfile.TemporaryDirectory(dir=root.parent, prefix=".package-") as made:
+        new = Path(made) / root.name
+        paths = [Path(target.files_subdir) / f.name for f in sources]
+        (new / target.files_subdir).mkdir(parents=True)
+        for source, path in zip(sources, paths, strict=True):
+            shutil.copy2(source, new / path)
+        filled = target.prompt_template.format(name=name, description=description, package_root=root, files_abs_list="\n".join(f"- `{root / p}`" for p in paths))
+        (new / "PROMPT.md").write_text(filled, encoding="utf-8")
+        if root.exists():
+            root.rename(Path(made) / "replaced")
+        new.rename(root)
     return root
 
 
 def default_description(files: list[str]) -> str:
-    return ", ".join(Path(f).stem for f in files[:3]) + ("…" if len(files) > 3 else "")
+    """What a package is about if nobody says so: the first three files by name."""
+    return "Reference material from: " + ", ".join(Path(f).stem for f in files[:3]) + ("…" if len(files) > 3 else "")

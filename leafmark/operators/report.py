@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmark import scratch
 from leafmark.functions import text as T
 from leafmark.functions.quality import grade
 from leafmark.operators.arbitrate import RULES
@@ -30,9 +31,19 @@ def existing(files: DataFrame) -> DataFrame:
     return files.select("file", T.slugify(F.col("file")).alias("out"), F.lit(True).alias("skipped_existing"), *zero, F.lit(0.0).alias("avg_score"), none.alias("warnings"), none.alias("ocr_errors"), none.alias("issues"), F.lit(None).cast("string").alias("reason"))
 
 
+def numbered(rows: DataFrame, by: str, out: str = "n") -> DataFrame:
+    """rows with their numbers from 1 in order of a column, without bringing them into one task: they are dealt by ranges and numbered
+    within these, and the sizes of the ranges before (a row for each range) move the numbers up."""
+    ranges = rows.repartitionByRange(by).sortWithinPartitions(by).withColumn("__at", F.monotonically_increasing_id())
+    ranges = scratch.written(ranges, "ranges").withColumn("__range", F.shiftright("__at", 33)).withColumn("__at", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = ranges.groupBy("__range").agg(F.count("*").alias("__size"))
+    before = sizes.select("__range", F.coalesce(F.sum("__size").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return ranges.join(F.broadcast(before), "__range").withColumn(out, (F.col("__before") + F.col("__at") + 1).cast("int")).drop("__range", "__at", "__before")
+
+
 def qc_rows(rows: DataFrame) -> DataFrame:
     """(n, row): the report's table, in order of the file."""
-    df = rows.withColumn("n", F.row_number().over(Window.orderBy("file")))
+    df = numbered(rows, "file")
     s = lambda c: F.col(c).cast("string")
     errors = F.when(F.size("ocr_errors") > 0, F.concat(F.size("ocr_errors").cast("string"), F.lit(" OCR errors")))
     notes = F.filter(F.concat("warnings", F.array(F.when(F.col("reason") != "", F.col("reason")), errors)), lambda x: x.isNotNull())
@@ -58,6 +69,23 @@ def run_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_if(ok & (avg >= 60)).alias("good"), F.count_if(ok & (avg >= 40) & (avg < 60)).alias("review"), F.count_if(~ok | (avg < 40)).alias("poor"), F.coalesce(F.sum("word_count"), F.lit(0)).alias("words"))
 
 
+def log_lines(rows: DataFrame) -> DataFrame:
+    """(file, line): what a run says of each document on the console, without its number."""
+    s = lambda c: F.col(c).cast("string")
+    avg = F.col("avg_score")
+    mark = F.when(avg >= 60, "✅").when(avg >= 40, "⚠️ ").otherwise("❌")
+    done = F.concat(mark, F.lit(" pages="), s("pages_extracted"), F.lit(" (text="), s("pages_via_text"), F.lit(", ocr="), s("pages_via_ocr"), F.lit(") words="), T.thousands(F.col("word_count")), F.lit(" score="), T.whole(avg))
+    what = F.when(F.col("skipped_existing"), "⏭  exists").when(F.size("issues") > 0, F.concat(F.lit("❌ "), F.substring(F.array_join("issues", "; "), 1, 60))).otherwise(done)
+    return rows.select("file", F.concat(F.rpad(F.substring("file", 1, 48), 48, " "), F.lit(" "), what).alias("line"))
+
+
+def summary_text(summary: DataFrame, seconds: float) -> DataFrame:
+    """(text) of run_summary's row and the time that the run took."""
+    s = lambda c: F.col(c).cast("string")
+    time = f"Done in {int(seconds // 60)}m {int(seconds % 60)}s.\n\n✓ "
+    return summary.select(F.concat(F.lit(time), s("good"), F.lit(" good   ⚠ "), s("review"), F.lit(" review   ✗ "), s("poor"), F.lit(" failed\n"), T.thousands(F.col("words")), F.lit(" words extracted total.")).alias("text"))
+
+
 def markdown_documents(docs: DataFrame, file_col: str = "file") -> DataFrame:
     """(file, slug, document): header and body of each document with pages."""
     s = lambda c: F.col(c).cast("string")

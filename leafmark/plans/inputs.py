@@ -14,9 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of a source as the pages of one book."""
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), n.alias("page_num"), "doc_id", F.col("text").alias("text_raw"))
+    """Documents of a source as the pages of books; a book has those of a thousand ids, so that no book grows with the table."""
+    book = F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 1000).cast("string"))
+    df = table(spark, sf_dir, "documents").select(book.alias("doc"), "doc_id", F.col("text").alias("text_raw"))
+    return df.select("doc", F.row_number().over(Window.partitionBy("doc").orderBy("doc_id")).alias("page_num"), "doc_id", "text_raw")
 
 
 def dirty_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,9 +53,9 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of a host as the chapters of one book; numbered before anything is filtered."""
-    host = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)
-    return table(spark, sf_dir, "pages").select(host.alias("doc"), F.row_number().over(Window.partitionBy(host).orderBy("page_id")).alias("chapter_num"), "html")
+    """Pages of a host, by a thousand ids, as the chapters of a book; numbered before anything is filtered."""
+    book = F.concat(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1), F.lit("-"), F.floor(F.col("page_id") / 1000).cast("string"))
+    return table(spark, sf_dir, "pages").select(book.alias("doc"), F.row_number().over(Window.partitionBy(book).orderBy("page_id")).alias("chapter_num"), "html")
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +67,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), F.row_number().over(o).alias("tick"), F.greatest(F.lit(0.001), seconds).alias("elapsed"), F.count("*").over(w).alias("total"))
 
 
-DOC_PAGES_SQL = "doc_pages AS (SELECT source AS doc, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS page_num, doc_id, text AS text_raw FROM documents)"
+DOC_PAGES_SQL = "doc_pages AS (SELECT source || '-' || (doc_id // 1000) AS doc, row_number() OVER (PARTITION BY source, doc_id // 1000 ORDER BY doc_id)::INT AS page_num, doc_id, text AS text_raw FROM documents)"
 DIRTY_SQL = f"""{DOC_PAGES_SQL}, dirty AS (
   SELECT doc, page_num, doc_id, CASE WHEN page_num % 2 = 1 THEN 'Running header of ' || doc || chr(10) ELSE '' END || CASE page_num % 8
     WHEN 1 THEN replace(text_raw, 'from', 'frorn') WHEN 2 THEN replace(text_raw, 'fi', chr(64257)) WHEN 3 THEN text_raw || chr(57344) || chr(59648)
@@ -83,6 +84,6 @@ CANDIDATES_SQL = f"""{DOC_PAGES_SQL}, prof AS (SELECT *, regexp_extract(doc, '[0
       WHEN 5 THEN '' WHEN 6 THEN {_CROSSED} END AS ocr_raw,
     CASE WHEN k = 3 AND page_num % 5 = 0 THEN 'RuntimeError: stub' END AS ocr_error
   FROM prof)"""
-CHAPTERS_SQL = "html_chapters AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY page_id)::INT AS chapter_num, html FROM (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS doc, page_id, html FROM pages))"
+CHAPTERS_SQL = "html_chapters AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY page_id)::INT AS chapter_num, html FROM (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) || '-' || (page_id // 1000) AS doc, page_id, html FROM pages))"
 TICKS_SQL = """ticks AS (SELECT user_id AS file, row_number() OVER w AS tick, greatest(0.001::DOUBLE, (epoch_us(ts) - epoch_us(first_value(ts) OVER w))::DOUBLE / 1000000.0::DOUBLE) AS elapsed,
   count(*) OVER (PARTITION BY user_id) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""

@@ -2,30 +2,35 @@
 
 from __future__ import annotations
 
-from leafmark.functions import text as T
-from leafmark.functions.correct import MARKS
-from leafmark.functions.vocabulary import common_words, corrections
-from leafmark.operators.export import TARGETS
+from leafmark.functions.vocabulary import common_words
 from leafmark.plans import inputs as I
 
-WS = T.WS
+WS = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+GARBAGE = r"[\x{E000}-\x{F8FF}\x{FFF0}-\x{FFFF}]"
+MARKS = ".,;:!?\"'()-"
 _q = lambda s: "'" + s.replace("'", "''") + "'"
 _list = lambda xs: "[" + ", ".join(map(_q, xs)) + "]"
+#: The vocabulary is the only value that is taken from the code; tests pin its digest.
 COMMON = ", ".join(map(_q, sorted(common_words())))
-FIXES = corrections()
-KEYS = sorted(FIXES)
+#: Code points and what becomes of them, written here once more.
+SEVERAL = (
+    (0xE000, "fi"), (0xE001, "fl"), (0xE002, "ff"), (0xE003, "ffi"), (0xE004, "ffl"), (0xE005, "ft"), (0xE006, "st"), (0xE007, "ct"), (0xE062, "Th"), (0xE0BB, "Th"), (0xE09D, "ft"), (0xE117, "ft"),
+    (0xFB00, "ff"), (0xFB01, "fi"), (0xFB02, "fl"), (0xFB03, "ffi"), (0xFB04, "ffl"), (0xFB05, "st"), (0xFB06, "st"), (0x2026, "..."), (0x85, "..."),
+)
+ONE = ((0xA0, 32), (0x2028, 10), (0xF0B7, 0x2022), (0xF0A7, 0x2022), (0xF0D8, 0x2022), (0xF020, 32), (0x2018, 39), (0x2019, 39), (0x201C, 34), (0x201D, 34), (0x2013, 45), (0x91, 39), (0x92, 39), (0x93, 34), (0x94, 34), (0x96, 45), (0x97, 0x2014))
 
 
 def norm(x: str) -> str:
-    x = f"coalesce({x}, '')"
-    for a, b in (T.LIGATURES | T.LONGER).items():
-        x = f"replace({x}, {_q(a)}, {_q(b)})"
-    x = f"translate({x}, {_q(''.join(T.ONE_TO_ONE) + T.DELETED)}, {_q(''.join(T.ONE_TO_ONE.values()))})"
+    x = f"replace(replace(replace(coalesce({x}, ''), chr({0x2029}), chr(10) || chr(10)), chr({0xAD}), ''), chr({0xFEFF}), '')"
+    for code, meant in SEVERAL:
+        x = f"replace({x}, chr({code}), '{meant}')"
+    for code, meant in ONE:
+        x = f"replace({x}, chr({code}), chr({meant}))"
     return rf"regexp_replace({x}, '\(cid:[0-9]+\)', '', 'g')"
 
 
 def no_garbage(x: str) -> str:
-    return f"regexp_replace({x}, '{T.GARBAGE}', '', 'g')"
+    return f"regexp_replace({x}, '{GARBAGE}', '', 'g')"
 
 
 def strip(x: str) -> str:
@@ -41,10 +46,13 @@ def words(x: str) -> str:
 
 
 def correct(x: str) -> str:
+    """By the rule itself: the first confusion whose replacement in the bare word gives a common one."""
     clean = f"trim(lower(w), {_q(MARKS)})"
-    meant = f"({_list([FIXES[k] for k in KEYS])})[list_position({_list(KEYS)}, {clean})]"
-    cased = f"CASE WHEN w = upper(w) AND w <> lower(w) THEN upper({meant}) WHEN w[1] = upper(w[1]) AND w[1] <> lower(w[1]) THEN upper(({meant})[1]) || substr({meant}, 2) ELSE {meant} END"
-    return rf"array_to_string(list_transform(regexp_extract_all({x}, '[{WS}]+|[^{WS}]+'), lambda w: CASE WHEN list_contains({_list(KEYS)}, {clean}) AND regexp_matches(w, '^\p{{L}}') THEN {cased} || substr(w, length({clean}) + 1) ELSE w END), '')"
+    tried = ", ".join(f"replace(c, '{a}', '{b}')" for a, b in (("rn", "m"), ("cl", "d"), ("vv", "w"), ("0", "o"), ("1", "l")))
+    meant = f"CASE WHEN c IN ({COMMON}) THEN NULL ELSE list_filter([{tried}], lambda f: f <> c AND f IN ({COMMON}))[1] END"
+    cased = "CASE WHEN w = upper(w) AND w <> lower(w) THEN upper(m) WHEN w[1] = upper(w[1]) AND w[1] <> lower(w[1]) THEN upper(m[1]) || substr(m, 2) ELSE m END || substr(w, length(c) + 1)"
+    fixed = f"list_transform([{clean}], lambda c: list_transform([{meant}], lambda m: CASE WHEN m IS NULL THEN w ELSE {cased} END)[1])[1]"
+    return rf"array_to_string(list_transform(regexp_extract_all({x}, '[{WS}]+|[^{WS}]+'), lambda w: CASE WHEN regexp_matches(w, '^\p{{L}}') AND regexp_matches(lower(w), 'rn|cl|vv|0|1') THEN {fixed} ELSE w END), '')"
 
 
 def quality(name: str, rel: str, x: str, p: str = "") -> str:
@@ -133,7 +141,7 @@ HTML = f"array_to_string(list_filter(list_transform(string_split({HTML}, chr(10)
 CHAPTERS = f"""{I.CHAPTERS_SQL}, items AS (SELECT doc, chapter_num, {norm('t')} AS text FROM (SELECT doc, chapter_num, {HTML} AS t FROM html_chapters)),
 chap AS (SELECT doc, chapter_num, CASE WHEN len({words('text')}) >= 10 THEN '<!-- Chapter ' || chapter_num || ' -->' || chr(10) || {strip('text')} END AS chunk FROM items)"""
 ETA = "CASE WHEN x IS NULL OR isnan(x) OR x < 0 THEN '…' WHEN x < 60 THEN trunc(x)::BIGINT || 's' WHEN x < 3600 THEN (trunc(x)::BIGINT // 60) || 'm ' || (trunc(x)::BIGINT % 60) || 's' ELSE (trunc(x)::BIGINT // 3600) || 'h ' || (trunc(x)::BIGINT % 3600 // 60) || 'm' END"
-_TARGETS = ", ".join(f"({_q(t.id)}, {_q(t.folder_prefix)}, {_q(t.files_subdir)})" for t in TARGETS.values())
+_TARGETS = "('claude-skill', 'skill-', 'references'), ('chatgpt-gpt', 'gpt-', 'knowledge'), ('cursor-rules', 'cursor-', 'docs'), ('gemini-cli', 'gemini-', 'references')"
 
 SQL = {
     "quality_score": f"WITH {SCORED} SELECT doc_id, score, word_count, common_word_ratio, garbage_ratio, avg_word_length, reason FROM scored",
@@ -171,6 +179,11 @@ SQL = {
       f AS (SELECT file, tick, total, rate AS s FROM r WHERE tick = 2 UNION ALL SELECT r.file, r.tick, r.total, 0.25::DOUBLE * r.rate + 0.75::DOUBLE * f.s FROM f JOIN r ON r.file = f.file AND r.tick = f.tick + 1),
       e AS (SELECT file, tick, s, CASE WHEN s > 0 THEN (total - tick) / s END AS x FROM f UNION ALL SELECT file, tick, NULL, NULL FROM r WHERE tick = 1)
       SELECT file, tick, round(s, 6) AS smoothed, round(x, 4) AS eta, {ETA} AS eta_text FROM e""",
+    "export_prompts": f"""WITH t(target, prefix, sub) AS (VALUES {_TARGETS}), f AS (SELECT DISTINCT source || '.md' AS file FROM documents)
+      SELECT target, prefix || 'my-corpus' AS package, md5(string_agg('- `out/' || prefix || 'my-corpus/' || sub || '/' || file || '`', chr(10) ORDER BY file)) AS digest, true AS filled FROM f, t GROUP BY target, prefix""",
+    "qc_report_of_failures": """WITH f AS (SELECT p_name || ' ' || p_partkey || '.pdf' AS file, p_partkey % 2 = 1 AS odd, p_name FROM part)
+      SELECT row_number() OVER (ORDER BY file)::INT AS n, '| ' || row_number() OVER (ORDER BY file) || ' | ' || substr(file, 1, 40) || ' | ' ||
+        CASE WHEN odd THEN '0 | 0 | 0 | 0 | 0 | 0 | ❌ FAILED | ' || substr('Failed to open PDF: ' || p_name || '; no such page', 1, 60) ELSE '— | — | — | — | — | — | ⏭ exists | skipped' END || ' |' AS row FROM f""",
     "progress_percent": f"WITH {I.TICKS_SQL} SELECT file, tick, trunc(100 * tick::DOUBLE / total)::INT AS overall, trunc(1000 * tick::DOUBLE / total)::INT AS permille FROM ticks",
     "export_manifest": f"WITH t(target, prefix, sub) AS (VALUES {_TARGETS}), f AS (SELECT DISTINCT source || '.md' AS file FROM documents) SELECT target, prefix || 'my-corpus' AS package, file, 'out/' || prefix || 'my-corpus/' || sub || '/' || file AS path FROM f, t",
 }

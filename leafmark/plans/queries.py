@@ -169,11 +169,29 @@ def export_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.manifest(files, F.lit("My Corpus"), "out")
 
 
+def export_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that each target's prompt lists, and whether name, description and folder stand in it."""
+    df = export.prompts(export_manifest(spark, sf_dir), "My Corpus", "what it holds", "out")
+    listed = F.array_join(F.filter(F.split("prompt", "\n"), lambda x: x.startswith("- `")), "\n")
+    holds = lambda x: F.contains("prompt", F.lit(x) if isinstance(x, str) else x)
+    return df.select("target", "package", _md5(listed).alias("digest"), (holds("My Corpus") & holds("what it holds") & holds(F.concat(F.lit("out/"), "package")) & ~holds("{{") & ~holds("{name}")).alias("filled"))
+
+
+def qc_report_of_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report rows of files that could not be opened, and of files that were there already."""
+    part = I.table(spark, sf_dir, "part").withColumn("file", F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string"), F.lit(".pdf")))
+    odd = F.col("p_partkey") % 2 == 1
+    empty = {c: F.lit(0).cast("long") for c in ("pages_extracted", "pages_skipped", "pages_via_text", "pages_via_ocr", "word_count")} | {c: F.array().cast("array<string>") for c in ("warnings", "ocr_errors")}
+    failed = part.filter(odd).withColumns(empty | {"avg_score": F.lit(0.0), "reason": F.lit("")})
+    rows = report.results(failed, issues=F.array(F.concat(F.lit("Failed to open PDF: "), "p_name"), F.lit("no such page")))
+    return report.qc_rows(rows.unionByName(report.existing(part.filter(~odd))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         quality_score, quality_grade_summary, normalize_encoding, garbage_strip, ocr_correct, boilerplate_lines, strip_boilerplate, page_arbitration, page_chunks,
         document_assembly, document_stats, document_reason, markdown_documents, qc_report_rows, ocr_error_appendix, run_summary, html_to_text, html_to_text_native,
-        chapter_assembly, slugify_names, slugify_packages, dedupe_sources, skip_existing, eta_ema, progress_percent, export_manifest,
+        chapter_assembly, slugify_names, slugify_packages, dedupe_sources, skip_existing, eta_ema, progress_percent, export_manifest, export_prompts, qc_report_of_failures,
     )
 } | {"ocr_gate": gate}

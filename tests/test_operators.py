@@ -102,3 +102,49 @@ def test_package(spark, tmp_path):
     assert '{"name"' in p["chatgpt-gpt"] and "- `./gpt-my-notes/knowledge/b.md`" in p["chatgpt-gpt"]
     assert export.slug_of("  __Hello, World!__ ") == "hello-world"
     assert T.package_slug is not None
+
+
+def test_a_package_is_replaced_only_by_a_whole_one(tmp_path):
+    a = tmp_path / "a.md"
+    a.write_text("x")
+    root = export.build_package("cursor-rules", "n", "", [a], tmp_path)
+    (root / "mine").write_text("y")
+    with pytest.raises(FileNotFoundError):
+        export.build_package("cursor-rules", "n", "", [a, tmp_path], tmp_path)  # a folder is no file
+    assert (root / "mine").exists()
+    again = export.build_package("cursor-rules", "n", "", [a], tmp_path)
+    assert again == root and sorted(p.name for p in root.iterdir()) == ["PROMPT.md", "docs"] and not list(tmp_path.glob(".package-*"))
+
+
+def test_numbers_over_ranges(spark):
+    files = [f"f{(i * 37) % 500:03}" for i in range(500)]
+    got = report.numbered(spark.createDataFrame([(f,) for f in files], "file string").repartition(7), "file").collect()
+    assert sorted((r.n, r.file) for r in got) == list(enumerate(sorted(files), 1))
+
+
+def test_console_lines(spark):
+    docs = assemble.extract(spark.createDataFrame([("d", n, GOOD, None, None) for n in range(1, 4)], PAGES)).withColumn("file", F.concat("doc", F.lit(".pdf")))
+    rows = report.results(docs).unionByName(report.existing(spark.createDataFrame([("y.pdf",)], "file string")))
+    failed = report.results(docs.withColumn("pages_extracted", F.lit(0)).withColumn("file", F.lit("x" * 60)), issues=F.array(F.lit("Failed to open PDF: " + "z" * 80)))
+    got = {r.file: r.line for r in report.log_lines(rows.unionByName(failed)).collect()}
+    assert got["d.pdf"] == "d.pdf" + " " * 43 + " ✅ pages=3 (text=3, ocr=0) words=414 score=" + got["d.pdf"].rpartition("=")[2]
+    assert got["y.pdf"].endswith("⏭  exists") and got["x" * 60] == "x" * 48 + " ❌ " + ("Failed to open PDF: " + "z" * 80)[:60]
+    text = report.summary_text(report.run_summary(rows), 125.9).first().text
+    assert text.startswith("Done in 2m 5s.\n\n✓ 1 good   ⚠ 0 review   ✗ 1 failed\n") and text.endswith(" words extracted total.")
+
+
+def test_columns_of_the_same_names(spark):
+    """with_quality leaves columns alone that have names of its own."""
+    from leafmark.functions.quality import with_quality
+
+    df = with_quality(spark.createDataFrame([("the people", 1, 2, 3, 4, 5)], "t string, n int, alpha int, r int, g int, L int"), "t", "q")
+    r = df.collect()[0]
+    assert df.columns == ["t", "n", "alpha", "r", "g", "L", "q"] and tuple(r)[1:6] == (1, 2, 3, 4, 5) and r.q.word_count == 2
+
+
+def test_texts_are_scored_once(spark):
+    """Pages that were gated keep their score."""
+    from leafmark.operators.arbitrate import ocr_gate
+
+    gated = ocr_gate(spark.createDataFrame([("d", 1, GOOD, None, None)], PAGES)).withColumn("text_norm", F.lit("kept"))
+    assert arbitrate(gated).collect()[0].text == "kept"
