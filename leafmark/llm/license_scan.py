@@ -1,18 +1,17 @@
 """License scans (10): a positional rare-token index, in DataFrame and SQL functions only.
 
 Each template is a list of words with places, a label and a key phrase that must stand in full: the wording of licences' notices
-and grants, and short statements of a licence. One pass over
-the texts finds the words and keeps, for each row, those of the index's vocabulary with their places (the rows'
-own numbers make these a stable table); COMMON words only where a word that can open a lookup stands too. Over all documents, each
+and grants, and short statements of a licence. One pass over the texts finds the words, and keeps, for each row, which words of the
+index's vocabulary it has, and its words in order if one of them can open a lookup. Over all documents, each
 vocabulary word gets an IDF (COMMON ones weigh nothing). A file's rare words are looked up: a template is
-looked up by the word of its key phrase with the highest IDF; only if the file has it, a posting
-(template, offset) at place p proposes that the template starts at p - offset, and the words' postings are intersected at that start.
+looked up by the word of its key phrase with the highest IDF, whose posting (template, offset) at place p
+proposes that the template starts at p - offset; the template's other postings are then intersected with the words at their places from there.
 A start counts if the key phrase stands there in full and matched words hold at least LEAST of the template's IDF.
 As no start counts without the rare word, the lookup loses none, whatever else the file holds.
 Base phrases are templates whose every word is key; all their places count. The score is the largest share of a template that stands, 1 for a base phrase.
 
-What is shuffled are single words of licences, by (row, template, start), so that a file full of licence words
-or a licence that every file has is spread like any other. Rows without a word that opens a lookup are dropped before.
+The index is a constant of the plan, of a size that the templates fix. What is shuffled are counts of vocabulary words; rows never are, so a file full of
+licence words is work for its own row alone (as many lookups as it has rare words), and a licence that every file has is spread like the files.
 
 Defined cases: null or empty text has no words and no labels; rows that repeat an id are rows of their own;
 an empty table gives an empty result; other columns are not read.
@@ -126,45 +125,49 @@ def postings() -> list[tuple[int, str, int, str, bool, bool]]:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id column, n_words, n_base, first_word, last_word, base_labels, labels, score): a row for each document."""
-    spark = docs.sparkSession
-    index = spark.createDataFrame(postings(), "template int, label string, offset int, word string, is_key boolean, is_base boolean")
-    vocabulary = sorted({p[3] for p in postings()})
-    telling = [w for w in vocabulary if w not in COMMON]
-    opening = sorted({p[3] for p in postings() if p[4]} - COMMON)
-    words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), F.lit(1))
-    found = docs.select(F.col(id_col).alias("id"), words.alias("words"))
-
-    def places(of: list[str]) -> Column:
-        """Words among these, with their places. lower() is more than A-Z, so what it lets through is looked at again."""
-        near = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: F.lower(x["word"]).isin(of))
-        return F.filter(F.transform(near, lambda x: F.struct(x["at"].alias("at"), F.translate(x["word"], UPPER, LOWER).alias("word"))), lambda x: x["word"].isin(of))
-
-    rows = found.select("id", F.size("words").cast("long").alias("n_words"), "words", places(telling).alias("hits"))
-    rows = rows.withColumn("opens", F.exists("hits", lambda x: x["word"].isin(opening)))
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", "n_words", "opens", F.when(F.col("opens"), places(vocabulary)).otherwise(F.col("hits")).alias("hits"))
-    rows = common.written(rows, "license-words")
+    index = postings()
+    vocabulary = {p[3] for p in index}
+    telling, opening = sorted(vocabulary - COMMON), sorted({p[3] for p in index if p[4]} - COMMON)
+    # lower() is A-Z for what can become ASCII, but for the Kelvin sign
+    text = F.lower(F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\u212a"), F.lit("\ua7b1")))
+    found = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(text, F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1)).alias("words"))
+    found = found.withColumn("has", F.array_distinct(F.filter("words", lambda w: w.isin(telling))))
+    opens = F.exists("has", lambda w: w.isin(opening))
+    rows = common.written(found.select("id", F.size("words").cast("long").alias("n_words"), "has", F.when(opens, F.col("words")).alias("words")), "license-words")
     # at most one row for each word of the vocabulary
     n_docs = rows.count()
-    df = rows.select(F.explode(F.array_distinct("hits.word")).alias("word")).filter(~F.col("word").isin(sorted(COMMON))).groupBy("word").count()
-    idf = {r["word"]: r["idf"] for r in df.select("word", (F.log((F.lit(n_docs) + 1.0) / (F.col("count") + 1.0)) + 1.0).alias("idf")).collect()}
-    weights = spark.createDataFrame([(w, idf[w]) for w in sorted(idf)], "word string, idf double")
-    unseen = F.when(F.col("word").isin(sorted(COMMON)), 0.0).otherwise(math.log(n_docs + 1.0) + 1.0)
-    weighed = index.join(F.broadcast(weights), "word", "left").withColumn("idf", F.coalesce("idf", unseen))
-    whole = weighed.groupBy("template").agg(F.sum("idf").alias("all_idf"), F.count_if("is_key").alias("all_keys"), F.max_by("word", F.when(F.col("is_key"), F.struct("idf", "word"))).alias("rare"))
-    hits = rows.filter("opens").select("row", F.array_distinct("hits.word").alias("has"), F.explode("hits").alias("hit")).select("row", "has", F.col("hit.at").alias("at"), F.col("hit.word").alias("word"))
-    placed = hits.join(F.broadcast(weighed.join(whole.select("template", "rare"), "template")), "word").filter(F.expr("array_contains(has, rare)")).groupBy("row", "template", (F.col("at") - F.col("offset")).alias("start")).agg(
-        F.sum("idf").alias("idf"), F.count_if("is_key").alias("keys"), F.first("label").alias("label"), F.first("is_base").alias("is_base")
-    )
-    placed = placed.join(F.broadcast(whole), "template").withColumn("share", F.col("idf") / F.col("all_idf"))
-    placed = placed.filter((F.col("keys") == F.col("all_keys")) & (F.col("is_base") | (F.col("share") >= LEAST)))
-    base = F.when(F.col("is_base"), F.col("start")).cast("long")
-    by_row = placed.groupBy("row").agg(
-        F.count(base).alias("n_base"), F.min(base).alias("first_word"), F.max(base).alias("last_word"), F.collect_set(F.when(F.col("is_base"), F.col("label"))).alias("b"),
-        F.collect_set("label").alias("l"), F.max(F.when(F.col("is_base"), 1.0).otherwise(F.least("share", F.lit(1.0)))).alias("score"),
+    df = rows.select(F.explode("has").alias("word")).groupBy("word").count()
+    seen = {r["word"]: r["count"] for r in df.collect()}
+    idf = {w: 0.0 if w in COMMON else math.log((n_docs + 1.0) / (seen.get(w, 0) + 1.0)) + 1.0 for w in vocabulary}
+    templates = [[p for p in index if p[0] == t] for t in range(index[-1][0] + 1)]
+    rare = [max((idf[p[3]], p[3]) for p in of if p[4])[1] for of in templates]
+    struct = lambda **c: F.struct(*[F.lit(v).alias(k) for k, v in c.items()])
+    lookups = F.array(*[struct(template=p[0], offset=p[2], word=p[3]) for of, word in zip(templates, rare, strict=True) for p in of if p[3] == word])
+    of_template = F.array(*[struct(label=of[0][1], is_base=of[0][5], keys=sum(p[4] for p in of), all_idf=sum(idf[p[3]] for p in of)) for of in templates])
+    of_postings = F.array(*[F.array(*[struct(offset=p[2], word=p[3], is_key=p[4], idf=idf[p[3]]) for p in of]) for of in templates])
+
+    rares = sorted(set(rare))
+    places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(rares), F.struct(i.alias("at"), w.alias("word")))), lambda x: x.isNotNull())
+    proposed = F.flatten(F.transform(places, lambda x: F.transform(F.filter(lookups, lambda p: p["word"] == x["word"]), lambda p: F.struct(p["template"].alias("template"), (x["at"] - p["offset"]).alias("start")))))
+
+    def intersected(c: Column) -> Column:
+        """Key words and IDF of the template's postings that hold at its start."""
+        at = lambda p: F.get(F.col("words"), c["start"] + p["offset"])
+        held = F.filter(F.get(of_postings, c["template"]), lambda p: (c["start"] + p["offset"] >= 0) & (at(p) == p["word"]))
+        none = F.struct(F.lit(0).alias("keys"), F.lit(0.0).alias("idf"))
+        total = F.aggregate(held, none, lambda a, p: F.struct((a["keys"] + p["is_key"].cast("int")).alias("keys"), (a["idf"] + p["idf"]).alias("idf")))
+        return F.struct(c["start"].cast("long").alias("start"), F.get(of_template, c["template"]).alias("of"), total.alias("total"))
+
+    share = lambda x: F.when(x["of"]["is_base"], 1.0).otherwise(F.least(x["total"]["idf"] / x["of"]["all_idf"], F.lit(1.0)))
+    good = F.filter(F.transform(F.array_distinct(proposed), intersected), lambda x: (x["total"]["keys"] == x["of"]["keys"]) & (share(x) >= LEAST))
+    out = rows.select("id", "n_words", F.when(F.col("words").isNotNull(), good).alias("good"))
+    base = F.transform(F.filter("good", lambda x: x["of"]["is_base"]), lambda x: x["start"])
+    labels = lambda c: F.coalesce(F.array_join(F.array_sort(F.array_distinct(c)), ","), F.lit(""))
+    return out.select(
+        F.col("id").alias(id_col), "n_words", F.coalesce(F.array_size(base), F.lit(0)).cast("long").alias("n_base"), F.array_min(base).alias("first_word"), F.array_max(base).alias("last_word"),
+        labels(F.transform(F.filter("good", lambda x: x["of"]["is_base"]), lambda x: x["of"]["label"])).alias("base_labels"), labels(F.transform("good", lambda x: x["of"]["label"])).alias("labels"),
+        F.coalesce(F.round(F.array_max(F.transform("good", share)), 6), F.lit(0.0)).alias("score"),
     )
-    text = lambda c: F.coalesce(F.array_join(F.array_sort(c), ","), F.lit(""))
-    out = rows.select("row", "id", "n_words").join(by_row, "row", "left")
-    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word", text("b").alias("base_labels"), text("l").alias("labels"), F.coalesce(F.round("score", 6), F.lit(0.0)).alias("score"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
