@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +9,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmark.scratch import delete, mark, new_folder, shared_dir, table_name, written
+
+__all__ = ["delete", "mark", "written"]
 #: Identity of rows whose id is null: one document, smaller than every other.
 NULL_ID = -(2**63)
 #: Bytes of text that one step of a Python worker holds at once (a longer single text is its own step).
@@ -22,69 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only a local master may fall back to a temporary one."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not at:
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="leafmark-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(at)
-    return at
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint; Spark removes its files once nothing refers to them."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-#: Folders of tables that results may still read, and whether the catalog knows them.
-_WRITTEN: dict[str, bool] = {}
-
-
-def new_folder(spark: SparkSession, name: str, catalog: bool = False) -> str:
-    if not _WRITTEN:
-        atexit.register(delete, 0)
-    at = f"{shared_dir(spark)}/leafmark/{name}-{uuid.uuid4().hex}"
-    _WRITTEN[at] = catalog
-    return at
-
-
-def mark() -> int:
-    return len(_WRITTEN)
-
-
-def delete(since: int, keep_last: bool = False) -> None:
-    """Deletes the folders that were made since a mark, for callers that have written what they made of them; all that is left goes when
-    the driver's process ends with a session."""
-    spark = SparkSession.getActiveSession()
-    if spark is None or spark.sparkContext._jsc is None:
-        return
-    for at in list(_WRITTEN)[since : len(_WRITTEN) - keep_last]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        if _WRITTEN.pop(at):
-            spark.sql(f"DROP TABLE IF EXISTS leafmark_{at[-32:]}")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage with a compressed table in the shared folder; for what is too wide for a checkpoint."""
-    spark = df.sparkSession
-    at = new_folder(spark, name)
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 def dealt(df: DataFrame, name: str, key: str, files: int) -> DataFrame:
     """Like `written`, bucketed by a column: what groups by it later reads the table without a shuffle."""
     spark = df.sparkSession
     at = new_folder(spark, name, catalog=True)
-    table_name = f"leafmark_{at[-32:]}"
-    df.repartition(files, key).write.format("parquet").bucketBy(files, key).sortBy(key).option("path", at).saveAsTable(table_name)
-    return spark.table(table_name)
+    df.repartition(files, key).write.format("parquet").bucketBy(files, key).sortBy(key).option("path", at).saveAsTable(table_name(at))
+    return spark.table(table_name(at))
 
 
 def small_batches(spark: SparkSession, records: int = 2000) -> None:

@@ -9,16 +9,23 @@ a band. Texts with an equal band are candidates, and a pair is a link if its wei
 from the full shingle sets, is at least `threshold`. At 0.8, ten bands of two miss a link with
 probability (1 - 0.64) ** 10 = 4e-5. Classes are connected components over links, named by their smallest id.
 
-No pairs within a group: texts equal in their words are one node from the start. In a bucket, each text is verified against
+No pairs within a group: rows of one text are one node from the start (nodes are distinct texts, by 128 bits). In a bucket, each text is verified against
 the bucket's smallest one, which already joins most. Buckets whose texts are then still in several components are
-finished exactly: their texts outside the largest component are held against all of the bucket, in blocks that are
+finished exactly. One of up to BLOCK texts is held against itself as it is. A larger one is first cut by prefixes: in order of df, the rarest shingles of a text that
+hold more than 1 - `threshold` of its weight; two texts at the threshold share a shingle of these (what they share weighs at least
+`threshold` of either, and without one all of it would lie in the rest of that text whose prefix ends first). So texts that have
+a prefix shingle in common are a bucket of their own, texts that only share frequent shingles part, and what is mixed there is finished. To finish, the
+texts outside the largest component are held against all of the bucket, in blocks that are
 spread over tasks, and only links that join two components come out. Pairs that share a component are never looked at.
 
 Skew: copies never reach the buckets; a bucket's smallest id is found by a partial aggregation, and the joins back to
 its members are joins that Spark can split. Joins carry 64 bits for each shingle (low bits and df) and only texts that are in a pair.
 
+Range of the IDF: weights bend similarity. Were they the plain logarithm, a changed word of a text with very many near copies would weigh several times what they
+share, and copies that share nine tenths of their shingles would fall below the threshold. IDF_SHARE bounds the ratio of the largest and smallest weight; README has figures.
+
 Defined cases: texts without words are in no class but their own; null ids are one document; rows that repeat an id are one
-document and share its class; an empty table gives an empty result; other columns pass through.
+document, which joins the classes of its texts; an empty table gives an empty result; other columns, whatever their names, pass through keep_one_of_each.
 """
 
 from __future__ import annotations
@@ -46,7 +53,8 @@ _TABLES: dict[int, tuple] = {}
 
 
 def _tables(n: int) -> tuple[np.ndarray, ...]:
-    """Draws for n samples, by 16 bits of a shingle's hash: r, 1/r, beta, ln c; and the multipliers that pick the bits."""
+    """Draws for n samples: r (and 1/r), beta and ln c, each by 16 other bits of a shingle's hash, so that two shingles have the same three with
+    a probability of 2**-48; and the multipliers that pick the bits."""
     if n not in _TABLES:
         rng = np.random.default_rng(20100910)
         r, c = rng.gamma(2, 1, (n, DRAWS)), rng.gamma(2, 1, (n, DRAWS))
@@ -106,10 +114,11 @@ def samples(hashes: np.ndarray, weights: np.ndarray, counts: np.ndarray, n: int)
     ln_w = np.log(weights)
     out = np.empty((len(counts), n), np.uint64)
     for k in range(n):
-        i = ((hashes * odd[k]) >> np.uint64(48)).astype(np.intp)
-        b = beta[k][i]
+        spread = hashes * odd[k]
+        i, j, m = (((spread >> np.uint64(bits)) & np.uint64(DRAWS - 1)).astype(np.intp) for bits in (48, 32, 16))
+        b = beta[k][j]
         t = np.floor(ln_w * inverse[k][i] + b)
-        a = ln_c[k][i] - r[k][i] * (t - b + 1)
+        a = ln_c[k][m] - r[k][i] * (t - b + 1)
         at = np.flatnonzero(a == np.repeat(np.minimum.reduceat(a, starts), counts))
         at = at[np.searchsorted(at, starts)]  # of equals the first, which has the smallest low bits
         out[:, k] = mix(hashes[at] ^ mix(t[at].astype(np.int64).astype(np.uint64) + np.uint64(k)))
@@ -230,10 +239,8 @@ def _signed(docs: int, n: int):
                 continue
             drawn = samples(s.hash, s.weights(idf_of(s.df(b.column(b.schema.get_field_index("known"))), docs)), s.counts[some], n)
             bands = mix(drawn[:, ::2] + np.uint64(3) * mix(drawn[:, 1::2] + np.arange(n // 2, dtype=np.uint64))).view(np.int64)
-            base = np.cumsum(s.words.counts) - s.words.counts
-            digest = [xxhash.xxh3_128_digest(s.words.hash[base[i] : base[i] + s.words.counts[i]].tobytes()) for i in some]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, n // 2), pa.int32()), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("id")).take(pa.array(some)), pa.array(digest, pa.binary()), pa.array([x.tobytes() for x in drawn.astype(np.uint32)], pa.binary()), lists], ["id", "digest", "drawn", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("node")).take(pa.array(some)), lists], ["node", "bands"])
 
     return run
 
@@ -244,7 +251,26 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.cumsum(s.counts)[:-1]
         low = [x.tobytes() for x in np.split(s.low, cuts)]
         tf, df = ([x.astype(np.uint32).tobytes() if (x > 1).any() else None for x in np.split(c, cuts)] for c in (s.tf, s.df(b.column(b.schema.get_field_index("known")))))
-        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("id")), pa.array(low, pa.binary()), pa.array(tf, pa.binary()), pa.array(df, pa.binary())], ["id", "low", "tf", "df"])
+        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("node")), pa.array(low, pa.binary()), pa.array(tf, pa.binary()), pa.array(df, pa.binary())], ["node", "low", "tf", "df"])
+
+
+def _prefixes(docs: int, threshold: float):
+    """(node, component, key): a row for each shingle of a text's prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, of, keys = [], [], []
+            for n, c, low, tf, df in zip(*(b.column(b.schema.get_field_index(x)).to_pylist() for x in ("node", "component", "low", "tf", "df")), strict=True):
+                shingle = np.frombuffer(low, np.uint32)
+                weight = _weights(_idf(low, df, docs), tf)
+                order = np.lexsort((shingle, np.frombuffer(df, np.uint32) if df else np.ones(len(shingle), np.uint32)))
+                left = weight.sum() - np.cumsum(weight[order])  # what is not in the prefix that ends here
+                first = shingle[order][: int(np.argmax(left < threshold * weight.sum() * (1 - 1e-9))) + 1]
+                keys.append(first.astype(np.int64)), node.append(np.full(len(first), n)), of.append(np.full(len(first), c))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (node, of, keys)], ["node", "component", "key"])
+
+    return run
 
 
 def _weights(idf: np.ndarray, tf: bytes | None) -> np.ndarray:
@@ -324,53 +350,106 @@ def _joined(docs: int, threshold: float):
 def _unpacked(t: pa.Table, docs: int, end: str = "") -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     each = zip(*[t.column(f"{c}{end}").to_pylist() for c in ("low", "tf", "df")], strict=True)
     sets = [(np.frombuffer(low, np.uint32), _weights(_idf(low, df, docs), tf)) for low, tf, df in each]
-    return t.column(f"id{end}").to_numpy(), t.column(f"component{end}").to_numpy(), sets
+    return t.column(f"node{end}").to_numpy(), t.column(f"component{end}").to_numpy(), sets
+
+
+class _Links:
+    """Links between texts (nodes), found bucket by bucket. sets: (node, low, tf, df) of the texts in buckets."""
+
+    def __init__(self, sets: DataFrame, docs: int, threshold: float) -> None:
+        self.sets, self.docs, self.threshold = sets, docs, threshold
+        self.found = None
+
+    def add(self, more: DataFrame) -> DataFrame:
+        """(node, component) after these links."""
+        more = common.cut(more)
+        self.found = more if self.found is None else self.found.unionByName(more)
+        self.classes = common.cut(components(self.found, "a", "b"))
+        return self.classes
+
+    def to_leaders(self, pairs: DataFrame) -> DataFrame:
+        """pairs (a, b) that are links."""
+        side = lambda x: self.sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("low", "tf", "df")])
+        return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_verified(self.docs, self.threshold), "a long, b long")
+
+    def placed(self, members: DataFrame) -> DataFrame:
+        """members (key, node) with their components."""
+        classes = self.classes.select(F.col("id").alias("node"), "component")
+        return members.select("key", "node").join(classes, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+
+    def mixed(self, placed: DataFrame) -> DataFrame:
+        """(key, largest, n, rest) of the buckets in several components; a pair in a bucket has been verified by now."""
+        parts = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
+        parts = parts.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("largest"))
+        return parts.filter("n > most AND n > 2").select("key", "largest", "n", (F.col("n") - F.col("most")).alias("rest"))
+
+    def finished(self, placed: DataFrame, mixed: DataFrame) -> DataFrame:
+        """Links between components of these buckets, all of them held against each other."""
+        blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
+        inside = placed.join(mixed.select("key", "largest", blocks("rest").alias("nu"), blocks("n").alias("nv")), "key").join(self.sets, "node")
+        block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        asking = inside.filter("component <> largest").select("key", block("nu").alias("ub"), each("nv").alias("vb"), "node", "component", "low", "tf", "df")
+        others = inside.select(each("nu").alias("ub2"), block("nv").alias("vb2"), *[F.col(c).alias(f"{c}2") for c in ("key", "node", "component", "low", "tf", "df")])
+        return asking.groupBy("key", "ub", "vb").cogroup(others.groupBy("key2", "ub2", "vb2")).applyInArrow(_joined(self.docs, self.threshold), "a long, b long")
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
     """(id, class_id): a row for each id; ids without near duplicates are their own class."""
     common.small_batches(docs.sparkSession)
-    n = 2 * bands
     rows = docs.select(common.ident(id_col).alias("id"), F.col(text_col).alias("text"))
     shared, n_docs = shared_shingles(rows)
-    signed = common.written(_with_known(rows, shared).mapInArrow(_signed(n_docs, n), "id long, digest binary, drawn binary, bands array<long>"), "samples")
-    nodes = signed.groupBy("digest").agg(F.min("id").alias("node"))
-    nodes = common.cut(nodes)
-    copies = signed.select("id", "digest").join(nodes, "digest").filter("id <> node").select("id", "node")
-    alone = signed.join(nodes.select(F.col("node").alias("id"), "digest"), ["id", "digest"])
-    in_band = alone.select("id", "drawn", F.explode("bands").alias("band"))
-    leaders = common.cut(in_band.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("band", "leader"))
-    members = common.written(in_band.join(leaders, "band"), "bands")
-
-    pairs = common.cut(members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = common.written(_with_known(rows.join(ends, "id", "left_semi"), shared).mapInArrow(_sets, "id long, low binary, tf binary, df binary").filter("length(low) > 0"), "shingles")
-    full = pairs.join(sets.select(F.col("id").alias("b"), F.col("low").alias("low_b"), F.col("tf").alias("tf_b"), F.col("df").alias("df_b")), "b")
-    full = full.join(sets.select(F.col("id").alias("a"), F.col("low").alias("low_a"), F.col("tf").alias("tf_a"), F.col("df").alias("df_a")), "a")
-    found = common.cut(full.mapInArrow(_verified(n_docs, threshold), "a long, b long"))
-    # buckets that are still in several components; a pair in a bucket has been verified by now
-    classes = common.cut(components(found, "a", "b"))
-    known = members.select("band", "id").join(classes, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-    parts = known.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("largest"))
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    mixed = common.cut(parts.filter("n > most AND n > 2").select("band", "largest", blocks(F.col("n") - F.col("most")).alias("nu"), blocks(F.col("n")).alias("nv")))
-    inside = known.join(mixed, "band").join(sets, "id")
-    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asking = inside.filter("component <> largest").select("band", block("nu").alias("ub"), each("nv").alias("vb"), "id", "component", "low", "tf", "df")
-    others = inside.select(each("nu").alias("ub2"), block("nv").alias("vb2"), *[F.col(c).alias(f"{c}2") for c in ("band", "id", "component", "low", "tf", "df")])
-    more = asking.groupBy("band", "ub", "vb").cogroup(others.groupBy("band2", "ub2", "vb2")).applyInArrow(_joined(n_docs, threshold), "a long, b long")
-    found = found.unionByName(common.cut(more))
-    edges = found.unionByName(copies.select(F.col("node").alias("a"), F.col("id").alias("b")))
-    classes = components(edges, "a", "b")
-    return rows.select("id").distinct().join(classes, "id", "left").select("id", F.coalesce("component", "id").alias("class_id"))
+    key = ["id", "t1", "t2"]
+    texts = _tagged(rows).select(*key)
+    nodes = common.written(texts.groupBy("t1", "t2").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    known = shared.groupBy(*key).agg(F.first("known").alias("known"))
+
+    def of(some: DataFrame) -> DataFrame:
+        """(node, text, known) of these nodes; more than once where rows repeat."""
+        some = some.join(known, key, "left").select(*key, "node", F.when(F.col("known").isNotNull(), F.array("known")).alias("known"))
+        return _tagged(rows).join(some, key).select("node", "text", "known")
+
+    one = lambda df: df.groupBy("node").agg(*[F.first(c).alias(c) for c in df.columns if c != "node"])
+    signed = common.written(one(of(nodes).mapInArrow(_signed(n_docs, 2 * bands), "node long, bands array<long>")), "samples")
+    in_band = signed.select("node", F.explode("bands").alias("key"))
+    least = lambda df: df.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader")
+    members = common.written(in_band.join(least(in_band), "key"), "bands")
+    pairs = common.cut(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = one(of(nodes.join(ends, "node", "left_semi")).mapInArrow(_sets, "node long, low binary, tf binary, df binary"))
+    sets = common.written(sets, "shingles")
+    links = _Links(sets, n_docs, threshold)
+    links.add(links.to_leaders(pairs))
+
+    placed = common.cut(links.placed(members))
+    mixed = common.cut(links.mixed(placed))
+    links.add(links.finished(placed, mixed.filter(F.col("n") <= BLOCK)))
+    large = links.placed(members.join(mixed.filter(F.col("n") > BLOCK).select("key"), "key", "left_semi")).select("node", "component").distinct()
+    cut = common.written(large.join(sets, "node").mapInArrow(_prefixes(n_docs, threshold), "node long, component long, key long"), "prefixes")
+    first = cut.groupBy("key").agg(F.min(F.struct("node", "component")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first")
+    within = cut.join(first, "key").filter("component <> first.component").select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+    links.add(links.to_leaders(within))
+    placed = common.cut(links.placed(cut.join(first.select("key"), "key", "left_semi")))
+    classes = links.add(links.finished(placed, links.mixed(placed)))
+
+    worded = nodes.select("t1", "t2", "node").join(signed.select("node"), "node")
+    of_text = texts.distinct().join(worded, ["t1", "t2"]).join(classes.select(F.col("id").alias("node"), "component"), "node", "left")
+    of_text = common.cut(of_text.select("id", F.coalesce("component", "node").alias("component")).distinct())
+    # a document of several texts joins their classes
+    several = of_text.groupBy("id").agg(F.min("component").alias("a"), F.max("component").alias("z")).filter("a < z").select("id", "a")
+    joined = components(of_text.join(several, "id").select("a", F.col("component").alias("b")), "a", "b").select(F.col("id").alias("component"), F.col("component").alias("whole"))
+    of_text = of_text.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component")).distinct()
+    smallest = of_text.groupBy("component").agg(F.min("id").alias("class_id"))
+    classes = of_text.join(smallest, "component").select("id", "class_id")
+    return texts.select("id").distinct().join(classes, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without near duplicates: of each class, the document with the smallest id stays."""
     gone = near_duplicate_classes(docs, id_col, text_col, threshold).filter("id <> class_id").select(F.col("id").alias("__id"))
-    rows = docs.withColumn("__id", common.ident(id_col))
-    return rows.join(common.cut(gone), "__id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    named, names, _ = common.inner(docs)
+    rows = named.withColumn("__id", common.ident(names[docs.columns.index(id_col)]))
+    return rows.join(common.cut(gone), "__id", "left_anti").select(*[F.col(c).alias(name) for c, name in zip(names, docs.columns, strict=True)])
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,8 +213,10 @@ def test_samples_agree_as_often_as_similar():
     assert abs((x == y).mean() - 270 / 330) < 0.03
 
 
-def test_classes_join_through_chains_and_hot_buckets(spark):
-    """Near copies of one text, each with other words changed: classes must be those of all pairs."""
+@pytest.mark.parametrize("block", [minhash.BLOCK, 6])
+def test_classes_join_through_chains_and_hot_buckets(spark, monkeypatch, block):
+    """Near copies of one text, each with other words changed: classes must be those of all pairs, also where buckets are cut by prefixes."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = np.random.default_rng(9)
     base = [f"w{i}" for i in range(150)]
     rows = []
@@ -243,6 +245,37 @@ def test_classes_join_through_chains_and_hot_buckets(spark):
     assert got == {i: root(i) for i in range(len(rows))}
 
 
+def test_prefixes_of_similar_texts_meet():
+    rng = np.random.default_rng(11)
+    docs, met, alike = 1000, 0, 0
+    for _ in range(300):
+        n = int(rng.integers(3, 60))
+        pool = np.sort(rng.choice(2**32 - 1, 2 * n, replace=False).astype(np.uint32))
+        df_of = dict(zip(pool.tolist(), np.minimum(2 + rng.zipf(1.5, 2 * n), docs).astype(np.uint32).tolist(), strict=True))
+        a = np.sort(rng.choice(pool, n, replace=False))
+        b = np.sort(np.unique(np.concatenate([a[rng.random(n) < 0.95], rng.choice(pool, int(rng.integers(0, 3)))])))
+        if not len(b):
+            continue
+        packed = [(x.tobytes(), rng.integers(1, 3, len(x)).astype(np.uint32).tobytes(), np.array([df_of[i] for i in x.tolist()], np.uint32).tobytes()) for x in (a, b)]
+        weights = [minhash._weights(minhash._idf(low, df, docs), tf) for low, tf, df in packed]
+        if minhash._similarity(a, weights[0], b, weights[1]) >= 0.8:
+            rows = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([0, 1]), *(pa.array([x[k] for x in packed], pa.binary()) for k in range(3))], ["node", "component", "low", "tf", "df"])
+            out = next(minhash._prefixes(docs, 0.8)(iter([rows])))
+            keys = [{k for n_, k in zip(out.column("node").to_pylist(), out.column("key").to_pylist(), strict=True) if n_ == side} for side in (0, 1)]
+            alike += 1
+            met += bool(keys[0] & keys[1])
+            assert len(keys[0]) < 0.6 * n + 2
+    assert alike > 50 and met == alike
+
+
+def test_many_texts_of_one_id(spark):
+    """A null id (or a repeated one) with very many texts is no pair of each two of them."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(None, " ".join(words) + f" x{i}") for i in range(60)] + [(7, "one two three four five six"), (7, "seven eight nine ten eleven twelve"), (9, "seven eight nine ten eleven twelve"), (None, None), (11, None), (3, "  ")]
+    got = {r.id: r.class_id for r in minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {-(2**63): -(2**63), 7: 7, 9: 7, 11: 11, 3: 3}
+
+
 def test_op4_held_out(spark):
     sf = f"{DATA}/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
