@@ -71,8 +71,11 @@ class Hashes:
         for j in range(cost.shape[1]):  # the best of all functions are among those that begin with the best of the first
             total = (total[:, :, None] + cost[:, j, None, :]).reshape(len(x), -1)
             code = (code[:, :, None] + (MOVES * self.odd[table, j])[None, None, :]).reshape(len(x), -1)
-            best = np.argsort(total, axis=1, kind="stable")[:, :most]
-            total, code = np.take_along_axis(total, best, 1), np.take_along_axis(code, best, 1)
+            if total.shape[1] > most:
+                best = np.argpartition(total, most - 1, axis=1)[:, :most]
+                total, code = np.take_along_axis(total, best, 1), np.take_along_axis(code, best, 1)
+        order = np.argsort(total, axis=1, kind="stable")
+        total, code = np.take_along_axis(total, order, 1), np.take_along_axis(code, order, 1)
         chance = np.cumsum(np.exp(-total), axis=1)
         n = (chance < target).sum(axis=1) + 1
         return code, np.where(chance[:, -1] >= target, n, 0)
