@@ -252,11 +252,12 @@ def test_prefixes_of_similar_texts_meet():
         n = int(rng.integers(3, 60))
         pool = np.sort(rng.choice(2**32 - 1, 2 * n, replace=False).astype(np.uint32))
         df_of = dict(zip(pool.tolist(), np.minimum(2 + rng.zipf(1.5, 2 * n), docs).astype(np.uint32).tolist(), strict=True))
+        tf_of = dict(zip(pool.tolist(), rng.integers(1, 4, 2 * n).tolist(), strict=True))
         a = np.sort(rng.choice(pool, n, replace=False))
         b = np.sort(np.unique(np.concatenate([a[rng.random(n) < 0.95], rng.choice(pool, int(rng.integers(0, 3)))])))
         if not len(b):
             continue
-        packed = [(x.tobytes(), rng.integers(1, 3, len(x)).astype(np.uint32).tobytes(), np.array([df_of[i] for i in x.tolist()], np.uint32).tobytes()) for x in (a, b)]
+        packed = [(x.tobytes(), np.array([tf_of[i] + (rng.random() < 0.05) for i in x.tolist()], np.uint32).tobytes(), np.array([df_of[i] for i in x.tolist()], np.uint32).tobytes()) for x in (a, b)]
         weights = [minhash._weights(minhash._idf(low, df, docs), tf) for low, tf, df in packed]
         if minhash._similarity(a, weights[0], b, weights[1]) >= 0.8:
             rows = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([0, 1]), *(pa.array([x[k] for x in packed], pa.binary()) for k in range(3))], ["node", "component", "low", "tf", "df"])

@@ -127,3 +127,32 @@ def test_stages(spark, request, tmp_path, kind):
 
 def test_digests_are_of_utf8():
     assert hashlib.sha256("é".encode()).hexdigest().startswith("4a99557e") and np.uint64(1) << np.uint64(3) == 8
+
+
+CLASH = ["__id", "__tag", "__text", "__t1", "__t2", "__keep", "__bucket", "__new", "__new_text", "__n_words", "__n_lines", "__kept", "c0", "c1", "node", "a", "rank", "of total", "x.y"]
+
+
+def test_columns_with_names_of_the_operators_pass_through(messy, spark):
+    """Whatever other columns are called, they come out as they went in."""
+    docs = messy.select("doc_id", "text", *[F.concat(F.lit(f"{i} "), F.col("id").cast("string")).alias(name) for i, name in enumerate(CLASH)])
+    want = {tuple(r)[2:] for r in docs.collect()}
+    crf = quality_rules.train(docs, spark.createDataFrame([(1, 1, 0), (12, 0, 0)], LABELS))
+    for out in (line_dedup.drop_repeated_lines(docs), substring_dedup.drop_repeated_passages(docs)):
+        assert out.columns == docs.columns and {tuple(r)[2:] for r in out.collect()} == want
+    for out in (quality_rules.filter_by_quality(docs, crf), minhash.keep_one_of_each(docs)):
+        got = {tuple(r)[2:] for r in out.collect()}
+        assert out.columns == docs.columns and got and got < want
+    assert license_scan.scan(docs).count() == packing.pack(docs, PATH).select("doc_id", "piece", "length", "ids_crc32", "sequence_id").filter("piece = 0").count() == docs.count()
+
+
+def test_repeated_ids_with_labels(messy, spark):
+    """A labelled id that occurs again is one training row."""
+    docs = messy.unionByName(messy).unionByName(messy.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" more"))))
+    labels = spark.createDataFrame([(1, 1, 0), (12, 0, 1), (8, 0, 1), (3, 1, 0), (2, 1, 0)], LABELS)
+    crf, model = quality_rules.train(docs, labels), toxicity.train(docs, labels)
+    assert len(rows(quality_rules.quality_verdicts(docs, crf))) == len(rows(toxicity.toxicity_scores(docs, model))) == docs.count()
+
+
+def test_repeated_page_ids(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>one, two"), (1, "v", "<p>three"), (1, "u", "<p>one, two"), (2, None, None)], "page_id long, url string, html string")
+    assert sorted((r["page_id"], r["url"] or "", r["text"]) for r in rows(html_extract.extract_main_text(pages))) == [(1, "u", "one, two"), (1, "u", "one, two"), (1, "v", "three"), (2, "", "")]

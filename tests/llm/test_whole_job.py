@@ -10,7 +10,7 @@ import pytest
 from helpers import DATA
 from tokenizers import Tokenizer
 
-from leafmark.llm import common, html_extract, license_scan, minhash, registry
+from leafmark.llm import common, html_extract, license_scan, minhash, registry, substring_dedup
 
 SF = f"{DATA}/sf0.01"
 
@@ -198,6 +198,40 @@ def without_passages(texts, n=13):
     return out
 
 
+def test_a_hot_phrase_with_very_many_continuations(spark):
+    """Seven words in every row, followed by 100,000 different continuations, and a few passages that do repeat."""
+    hot = "here stands a phrase that is everywhere"
+    texts = {i: " ".join(f"{hot} " + " ".join(f"c{i}_{j}_{k}" for k in range(6)) for j in range(100)) for i in range(1000)}
+    shared = " ".join(f"s{k}" for k in range(20))
+    for i in (17, 400, 999):
+        texts[i] += f" {hot} {shared} end{i}"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r for r in substring_dedup.drop_repeated_passages(docs, counts=True).collect()}
+    assert {i for i, r in got.items() if r.n_removed} == {400, 999}
+    assert all(got[i].n_removed == 27 and got[i].text == texts[i].replace(f" {hot} {shared}", "") for i in (400, 999))
+    assert all(got[i].text == t for i, t in texts.items() if i not in (400, 999))
+
+
+@pytest.mark.parametrize("window", [3, 4, 13, 20])
+def test_windows_of_other_lengths(spark, window):
+    import random
+
+    r = random.Random(window)
+    texts = {i: " ".join(r.choice("abcde") for _ in range(r.randint(0, 60))) for i in range(40)}
+    texts |= {100 + i: texts[i] + " tail" for i in range(5)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x.doc_id: x.text for x in substring_dedup.drop_repeated_passages(docs, window=window).collect()}
+    assert got == without_passages(texts, window) and substring_dedup.levels(window)[-1] == window
+
+
+def test_null_ids_and_copies_fill_no_bucket(spark):
+    """Rows without an id are one document, whose copies stay; where they lie doesn't matter."""
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(None, text)] * 50 + [(5, text), (5, text + " x"), (6, "y " + text)], "doc_id long, text string").repartition(6)
+    got = Counter((r.doc_id, r.n_removed) for r in substring_dedup.drop_repeated_passages(docs, counts=True).collect())
+    assert got == {(None, 0): 50, (5, 30): 2, (6, 30): 1}
+
+
 def test_pipeline_is_its_five_stages(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     one = {r.doc_id: texts[r.doc_id] for r in registry.queries()["op8_quality_rules"](spark, SF).collect() if r.kept}
