@@ -123,7 +123,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _weights(x: _Rows, y: np.ndarray, penalty: float, w0: float, w: np.ndarray, offset: np.ndarray, rounds: int = 100) -> tuple[float, np.ndarray]:
+def _descent(x: _Rows, y: np.ndarray, penalty: float, w0: float, w: np.ndarray, offset: np.ndarray | float, rounds: int) -> tuple[float, np.ndarray]:
     """Logistic regression with an L1 penalty on w, by accelerated proximal gradient from (w0, w); offset: what else a row scores.
     Each term has a step of its own, from a bound of the curvature by the lengths of its rows."""
     size = 1 + x.sums(np.ones(len(w)))
@@ -133,9 +133,30 @@ def _weights(x: _Rows, y: np.ndarray, penalty: float, w0: float, w: np.ndarray,
         e = _sigmoid(a0 + x.sums(a) + offset) - y
         new0, new = a0 - step0 * e.sum() / len(y), a - step * x.spread(e) / len(y)
         new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
+        if (new0 - w0) * (a0 - new0) + (new - w) @ (a - new) > 0:  # it overshot
+            t = 1.0
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        moved = max(abs(new0 - w0), np.abs(new - w).max(initial=0.0))
         a0, a = new0 + (t - 1) / after * (new0 - w0), new + (t - 1) / after * (new - w)
         w0, w, t = new0, new, after
+        if moved < 5e-4:
+            break
+    return w0, w
+
+
+def _weights(x: _Rows, y: np.ndarray, penalty: float, w0: float, w: np.ndarray, offset: np.ndarray | float, rounds: int = 300) -> tuple[float, np.ndarray]:
+    """The weights under the penalty. Most are 0: it works on those that aren't or whose slope exceeds the penalty, until no other term's does."""
+    w = w.copy()
+    some = w != 0
+    for _ in range(30):
+        slope = x.spread(_sigmoid(w0 + x.sums(w) + offset) - y) / len(y)
+        more = ~some & (np.abs(slope) > penalty * 1.001)
+        if some.any() and not more.any():
+            break
+        some |= more
+        w0, w[some] = _descent(x.among(some), y, penalty, w0, w[some], offset, rounds)
+        if not some.any():
+            break
     return w0, w
 
 
@@ -143,7 +164,7 @@ def _relaxed(x: _Rows, y: np.ndarray, penalty: float, w0: float, w: np.ndarray,
     """Weights of the terms that the penalty left, fitted again with a tenth of it, as it makes all of them too small."""
     some = w != 0
     new = np.zeros(len(w))
-    w0, new[some] = _weights(x.among(some), y, penalty / 10, w0, w[some], offset)
+    w0, new[some] = _descent(x.among(some), y, penalty / 10, w0, w[some], offset, 300)
     return w0, new
 
 
@@ -164,6 +185,8 @@ def _factors(x: _Rows, y: np.ndarray, score: np.ndarray, factors: int, rounds: i
         g = np.stack([x.spread(e * x.sums(v[:, k])) for k in range(factors)], 1) - alone[:, None] * v + 2 * v
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g**2
         v = v - 0.1 * (1 - step / (rounds + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+        if step >= 10 and np.abs(v).max(initial=0.0) < 0.02:  # nothing in pairs
+            return np.zeros_like(v)
     return np.where((np.abs(v).max(1) > 0.05)[:, None], v, 0.0)
 
 
@@ -201,7 +224,9 @@ class FactorizationMachine:
                 best, loss = penalty, now
         w0, w = _weights(x, y, best, 0.0, np.zeros(len(x.terms)), 0.0)
         # what the penalty keeps the weights from telling is left for pairs; then the weights are fitted beside these
-        v = _factors(x, y, w0 + x.sums(w), factors, rounds)
+        held = np.bincount(x.cols, minlength=len(x.terms)) > best * n
+        v = np.zeros((len(x.terms), factors))
+        v[held] = _factors(x.among(held), y, w0 + x.sums(w), factors, rounds)
         some = v.any(1)
         w0, w = _relaxed(x, y, best, w0, w, _pairs(x.among(some), v[some]))
         keep = (w != 0) | some
