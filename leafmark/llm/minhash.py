@@ -10,13 +10,14 @@ from the full shingle sets, is at least `threshold`. At 0.8, ten bands of two mi
 probability (1 - 0.64) ** 10 = 4e-5. Classes are connected components over links, named by their smallest id.
 
 No pairs within a group: rows of one text are one node from the start (nodes are distinct texts, by 128 bits). In a bucket, each text is verified against
-the bucket's smallest one, which already joins most. Buckets whose texts are then still in several components are
-finished exactly. One of up to BLOCK texts is held against itself as it is. A larger one is first cut by prefixes: in order of df, the rarest shingles of a text that
+the bucket's smallest one, which already joins most. Where more than SPOKESMEN texts are then outside the bucket's largest component, one of each of so many components are
+held against the whole bucket, which joins groups of copies whose pairs are links in part. What is still in several components is
+finished exactly, by holding the texts outside the largest component against all of the bucket, in blocks that are
+spread over tasks; only links that join two components come out, and pairs that share a component are never looked at. Where that would be more than BLOCK texts against as
+many (very many texts that are alike but no copies), the bucket is first cut by prefixes: in order of df, the rarest shingles of a text that
 hold more than 1 - `threshold` of its weight; two texts at the threshold share a shingle of these (what they share weighs at least
 `threshold` of either, and without one all of it would lie in the rest of that text whose prefix ends first). So texts that have
-a prefix shingle in common are a bucket of their own, texts that only share frequent shingles part, and what is mixed there is finished. To finish, the
-texts outside the largest component are held against all of the bucket, in blocks that are
-spread over tasks, and only links that join two components come out. Pairs that share a component are never looked at.
+a prefix shingle in common are a bucket of their own, texts that only share frequent shingles part, and what is mixed there is finished.
 
 Skew: copies never reach the buckets; a bucket's smallest id is found by a partial aggregation, and the joins back to
 its members are joins that Spark can split. Joins carry 64 bits for each shingle (low bits and df) and only texts that are in a pair.
@@ -48,6 +49,7 @@ IDF_SHARE = 0.25  # a shingle of one document weighs so much more than one that
 DRAWS = 1 << 16
 PARTS = 1 << 10  # groups in which shingles are counted; each holds so small a part of all shingles at once
 BLOCK = 384  # texts of a bucket that one task holds against as many
+SPOKESMEN = 32  # texts of a mixed bucket, of as many components, that are held against all of it first
 STEP = 3 << 20
 _TABLES: dict[int, tuple] = {}
 
@@ -358,14 +360,12 @@ class _Links:
 
     def __init__(self, sets: DataFrame, docs: int, threshold: float) -> None:
         self.sets, self.docs, self.threshold = sets, docs, threshold
-        self.found = None
+        self.classes = None
 
-    def add(self, more: DataFrame) -> DataFrame:
-        """(node, component) after these links."""
-        more = common.cut(more)
-        self.found = more if self.found is None else self.found.unionByName(more)
-        self.classes = common.cut(components(self.found, "a", "b"))
-        return self.classes
+    def add(self, more: DataFrame) -> None:
+        """classes: (id, component) after these links. Links of before are in their components by then."""
+        known = self.classes.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more) if self.classes is not None else more
+        self.classes = common.cut(components(known, "a", "b"))
 
     def to_leaders(self, pairs: DataFrame) -> DataFrame:
         """pairs (a, b) that are links."""
@@ -377,19 +377,26 @@ class _Links:
         classes = self.classes.select(F.col("id").alias("node"), "component")
         return members.select("key", "node").join(classes, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
 
-    def mixed(self, placed: DataFrame) -> DataFrame:
-        """(key, largest, n, rest) of the buckets in several components; a pair in a bucket has been verified by now."""
+    def mixed(self, placed: DataFrame, least: int = 3) -> DataFrame:
+        """(key, largest, n, rest, parts) of the buckets of `least` texts or more that are in several components."""
         parts = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
-        parts = parts.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("largest"))
-        return parts.filter("n > most AND n > 2").select("key", "largest", "n", (F.col("n") - F.col("most")).alias("rest"))
+        parts = parts.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts"))
+        return parts.filter(f"n > most AND n >= {least}").select("key", "largest", "n", (F.col("n") - F.col("most")).alias("rest"), "parts")
 
-    def finished(self, placed: DataFrame, mixed: DataFrame) -> DataFrame:
-        """Links between components of these buckets, all of them held against each other."""
+    def spokesmen(self, placed: DataFrame, mixed: DataFrame) -> DataFrame:
+        """(key, node): of each bucket, a text of each of about SPOKESMEN components beside the largest, drawn by a hash."""
+        drawn = F.pmod(F.xxhash64("component"), F.ceil(F.col("parts") / F.lit(SPOKESMEN))) == 0
+        return placed.join(mixed.select("key", "largest", "parts"), "key").filter(F.col("component") != F.col("largest")).filter(drawn).groupBy("key", "component").agg(F.min("node").alias("node")).select("key", "node")
+
+    def finished(self, placed: DataFrame, mixed: DataFrame, only: DataFrame | None = None) -> DataFrame:
+        """Links between components of these buckets: what is outside the largest one (only: these few texts) held against all."""
         blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
+        mixed = mixed if only is None else mixed.withColumn("rest", F.lit(1))
         inside = placed.join(mixed.select("key", "largest", blocks("rest").alias("nu"), blocks("n").alias("nv")), "key").join(self.sets, "node")
         block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        asking = inside.filter("component <> largest").select("key", block("nu").alias("ub"), each("nv").alias("vb"), "node", "component", "low", "tf", "df")
+        asking = inside.filter("component <> largest") if only is None else inside.join(only, ["key", "node"], "left_semi")
+        asking = asking.select("key", block("nu").alias("ub"), each("nv").alias("vb"), "node", "component", "low", "tf", "df")
         others = inside.select(each("nu").alias("ub2"), block("nv").alias("vb2"), *[F.col(c).alias(f"{c}2") for c in ("key", "node", "component", "low", "tf", "df")])
         return asking.groupBy("key", "ub", "vb").cogroup(others.groupBy("key2", "ub2", "vb2")).applyInArrow(_joined(self.docs, self.threshold), "a long, b long")
 
@@ -422,23 +429,30 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     links.add(links.to_leaders(pairs))
 
     placed = common.cut(links.placed(members))
-    mixed = common.cut(links.mixed(placed))
-    links.add(links.finished(placed, mixed.filter(F.col("n") <= BLOCK)))
-    large = links.placed(members.join(mixed.filter(F.col("n") > BLOCK).select("key"), "key", "left_semi")).select("node", "component").distinct()
-    cut = common.written(large.join(sets, "node").mapInArrow(_prefixes(n_docs, threshold), "node long, component long, key long"), "prefixes")
-    first = cut.groupBy("key").agg(F.min(F.struct("node", "component")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first")
-    within = cut.join(first, "key").filter("component <> first.component").select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
-    links.add(links.to_leaders(within))
-    placed = common.cut(links.placed(cut.join(first.select("key"), "key", "left_semi")))
-    classes = links.add(links.finished(placed, links.mixed(placed)))
+    mixed = common.cut(links.mixed(placed))  # a pair in a bucket has been verified by now
+    crowded = mixed.filter(F.col("rest") > SPOKESMEN)
+    if not crowded.isEmpty():
+        links.add(common.cut(links.finished(placed, crowded, links.spokesmen(placed, crowded))))
+        placed = common.cut(links.placed(members))
+        mixed = common.cut(links.mixed(placed))
+    if not mixed.isEmpty():
+        much = F.col("rest") * F.col("n") > BLOCK * BLOCK
+        more = common.cut(links.finished(placed, mixed.filter(~much)))
+        large = placed.join(mixed.filter(much).select("key"), "key", "left_semi").select("node", "component").distinct()
+        if not large.isEmpty():
+            cut = common.written(large.join(sets, "node").mapInArrow(_prefixes(n_docs, threshold), "node long, component long, key long"), "prefixes")
+            more = more.unionByName(common.cut(links.finished(cut, links.mixed(cut, 2))))
+        links.add(more)
+    classes = links.classes
 
     worded = nodes.select("t1", "t2", "node").join(signed.select("node"), "node")
     of_text = texts.distinct().join(worded, ["t1", "t2"]).join(classes.select(F.col("id").alias("node"), "component"), "node", "left")
     of_text = common.cut(of_text.select("id", F.coalesce("component", "node").alias("component")).distinct())
     # a document of several texts joins their classes
     several = of_text.groupBy("id").agg(F.min("component").alias("a"), F.max("component").alias("z")).filter("a < z").select("id", "a")
-    joined = components(of_text.join(several, "id").select("a", F.col("component").alias("b")), "a", "b").select(F.col("id").alias("component"), F.col("component").alias("whole"))
-    of_text = of_text.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component")).distinct()
+    if not several.isEmpty():
+        joined = components(of_text.join(several, "id").select("a", F.col("component").alias("b")), "a", "b").select(F.col("id").alias("component"), F.col("component").alias("whole"))
+        of_text = of_text.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component")).distinct()
     smallest = of_text.groupBy("component").agg(F.min("id").alias("class_id"))
     classes = of_text.join(smallest, "component").select("id", "class_id")
     return texts.select("id").distinct().join(classes, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))

@@ -213,10 +213,11 @@ def test_samples_agree_as_often_as_similar():
     assert abs((x == y).mean() - 270 / 330) < 0.03
 
 
-@pytest.mark.parametrize("block", [minhash.BLOCK, 6])
-def test_classes_join_through_chains_and_hot_buckets(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "spokesmen"), [(minhash.BLOCK, minhash.SPOKESMEN), (3, 2), (2, 500)])
+def test_classes_join_through_chains_and_hot_buckets(spark, monkeypatch, block, spokesmen):
     """Near copies of one text, each with other words changed: classes must be those of all pairs, also where buckets are cut by prefixes."""
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "SPOKESMEN", spokesmen)
     rng = np.random.default_rng(9)
     base = [f"w{i}" for i in range(150)]
     rows = []
