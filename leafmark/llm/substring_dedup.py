@@ -229,7 +229,7 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     common.small_batches(spark)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets, parts = (max(LEAST_BUCKETS, -(-size // n)) for n in (BUCKET_BYTES, PART_BYTES))
-    files = max(2 * spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
+    files = max(spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
     named, names, types = common.inner(docs)
     text, key = names[docs.columns.index(text_col)], names[docs.columns.index(id_col)]
     rest = [c for c in names if c != text]
