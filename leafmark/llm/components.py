@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from leafmark.llm import common
 
+#: Pairs that a task holds; the partitions of a round follow from their number, as it shrinks with each round and is small from the start in most corpora.
+PAIRS_A_TASK = 20_000
+
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -17,13 +20,15 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     edges = common.cut(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     mark = _mark(edges)
     while mark[0]:
+        tasks = -(-mark[0] // PAIRS_A_TASK)
+        edges = edges.coalesce(tasks)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = common.cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = common.cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(tasks))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = common.cut(small)
+        edges = common.cut(small.coalesce(tasks))
         before, mark = mark, _mark(edges)
         if mark == before:
             break
