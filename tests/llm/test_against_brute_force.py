@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from leafmark.llm import ann, bpe, common, html_extract, minhash, packing, quality_rules, registry, toxicity
+from leafmark.llm import ann, bpe, common, html_extract, minhash, packing, pipeline, quality_rules, registry, toxicity
 
 SF = f"{DATA}/sf0.01"
 RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
@@ -431,9 +431,9 @@ def test_pipeline(spark, texts):
     """Each stage against its definition on what the stage before it kept."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {r.doc_id: r for r in registry.queries()["op8_quality_rules"](spark, SF).collect()}
-    one = corpus_pipeline.quality(spark, docs, SF).cache()
+    one = pipeline.quality(spark, docs, SF).cache()
     assert {r.doc_id for r in one.collect()} == {i for i, r in kept.items() if r.kept}
-    two = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, one, SF).collect()}
+    two = {r.doc_id: r.text for r in pipeline.lines(spark, one, SF).collect()}
     key = lambda x: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\Z", "", x).translate({c: c + 32 for c in range(65, 91)})
     owner = {}
     for i in sorted(two):
