@@ -33,8 +33,9 @@ def existing(files: DataFrame) -> DataFrame:
 
 def numbered(rows: DataFrame, by: str, out: str = "n") -> DataFrame:
     """rows with their numbers from 1 in order of a column, without bringing them into one task: they are dealt by ranges and numbered
-    within these, and the sizes of the ranges before (a row for each range) move the numbers up."""
-    ranges = rows.repartitionByRange(by).sortWithinPartitions(by).withColumn("__at", F.monotonically_increasing_id())
+    within these, and the sizes of the ranges before (a row for each range) move the numbers up. Rows are written first, as the bounds
+    of ranges are drawn from a run of their own."""
+    ranges = scratch.written(rows, "to-number").repartitionByRange(by).sortWithinPartitions(by).withColumn("__at", F.monotonically_increasing_id())
     ranges = scratch.written(ranges, "ranges").withColumn("__range", F.shiftright("__at", 33)).withColumn("__at", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = ranges.groupBy("__range").agg(F.count("*").alias("__size"))
     before = sizes.select("__range", F.coalesce(F.sum("__size").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))

@@ -148,3 +148,16 @@ def test_texts_are_scored_once(spark):
 
     gated = ocr_gate(spark.createDataFrame([("d", 1, GOOD, None, None)], PAGES)).withColumn("text_norm", F.lit("kept"))
     assert arbitrate(gated).collect()[0].text == "kept"
+
+
+def test_rows_are_made_once_to_be_numbered(spark):
+    """The bounds of ranges are drawn from rows that are written, not from another run of what makes them."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def name(i):
+        made.add(1)
+        return f"f{i:03}"
+
+    got = report.numbered(spark.range(100).select(name("id").alias("file")), "file").collect()
+    assert [r.n for r in sorted(got, key=lambda r: r.file)] == list(range(1, 101)) and made.value == 100
