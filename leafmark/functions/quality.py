@@ -1,6 +1,6 @@
 """The text-quality score: common words, token length, garbage and size, as native columns.
 
-`with_quality` takes several projections, tokens first, so that nothing is split or counted twice.
+`with_quality` takes several projections, white space first, then letters and their tokens, so that nothing is split or counted twice.
 """
 
 from __future__ import annotations
@@ -37,16 +37,18 @@ def _unused(df: DataFrame, name: str) -> str:
 
 def with_quality(df: DataFrame, text_col: str, out: str, words: Iterable[str] | None = None) -> DataFrame:
     """df with a struct of the score and its parts. words: another vocabulary than the default."""
-    known = sorted(common_words() if words is None else words)
+    known = sorted(set(common_words() if words is None else words) - {""})
     text = T.text_of(text_col)
-    names = [_unused(df, x) for x in ("n", "alpha", "r", "g", "l")]
-    df = df.withColumn(names[0], F.size(T.tokens(text))).withColumn(names[1], T.alpha_tokens(text))
-    n, m = F.col(names[0]), F.size(names[1])
-    ratio = F.size(F.filter(names[1], lambda x: x.isin(known))) / m
-    garbage = (F.length(text) - F.length(T.strip_garbage(text))) / F.greatest(F.length(text), F.lit(1))
-    length = F.length(F.array_join(names[1], "")) / m
-    df = df.withColumn(names[2], F.when(m > 0, ratio)).withColumn(names[3], garbage).withColumn(names[4], F.when(m > 0, length))
-    r, g, a = (F.col(x) for x in names[2:])
+    names = [_unused(df, x) for x in ("n", "alpha", "r", "g", "l", "m", "blanks", "letters")]
+    at = dict(zip(("n", "alpha", "r", "g", "l", "m", "blanks", "letters"), names, strict=True))
+    n, alpha, r, g, a, m, blanks, letters = (F.col(x) for x in names)
+    df = df.withColumn(at["blanks"], T.blanks(text))
+    df = df.withColumn(at["n"], T.n_parts(blanks)).withColumn(at["letters"], T.letters(blanks)).drop(at["blanks"])
+    df = df.withColumn(at["alpha"], F.split(letters, " "))  # with empty parts: a blank less than parts
+    df = df.withColumn(at["m"], F.size(F.array_remove(alpha, ""))).withColumn(at["l"], F.length(letters) - F.size(alpha) + 1)
+    df = df.withColumn(at["r"], F.when(m > 0, F.size(F.filter(alpha, lambda x: x.isin(known))) / m))
+    garbage = F.when(F.length(text) < F.octet_length(text), F.length(text) - F.length(T.strip_garbage(text))).otherwise(0)  # none in ASCII
+    df = df.withColumn(at["g"], garbage / F.greatest(F.length(text), F.lit(1))).withColumn(at["l"], F.when(m > 0, a / m))
     fit = F.when((a < 2.5) | (a > 9), 0.3).when((a < 3) | (a > 7), 0.7).otherwise(1.0)
     score = 60 * r + 20 * fit - 100 * g + F.least(F.lit(20.0), 5 * (n / F.lit(50)))
     score = F.when((r < 0.15) & (a < 3.0) & (n > 30), score * 0.1).otherwise(score)

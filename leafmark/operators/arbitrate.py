@@ -51,7 +51,7 @@ def ocr_gate(pages: DataFrame, rules: Rules = RULES) -> DataFrame:
 def arbitrate(pages: DataFrame, rules: Rules = RULES) -> DataFrame:
     """(doc, page_num, method, text, score, text_score, ocr_score, ocr_error, branch). The first rule that holds decides."""
     df = pages if {"text_norm", "text_score", "run_ocr"} <= set(pages.columns) else ocr_gate(pages, rules)  # scored once
-    df = df.withColumn("ocr_norm", F.when(F.col("ocr_error").isNull(), T.normalize_encoding("ocr_raw")).otherwise(""))
+    df = df.withColumn("ocr_norm", F.when(F.col("run_ocr") & F.col("ocr_error").isNull(), T.normalize_encoding("ocr_raw")).otherwise(""))
     df = with_quality(df, "ocr_norm", "ocr_score")
     failed = unreadable(0, F.concat(F.lit("ocr exception: "), F.regexp_extract("ocr_error", r"\A([^:]*)", 1)))
     df = df.withColumn("ocr_score", F.when(F.col("ocr_error").isNotNull(), failed).otherwise(F.col("ocr_score")))

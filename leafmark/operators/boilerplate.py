@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmark import scratch
 from leafmark.functions import text as T
 from leafmark.operators.arbitrate import RULES, Rules
 
@@ -24,10 +25,12 @@ def running_lines(pages: DataFrame, rules: Rules = RULES) -> DataFrame:
     return found.join(size, "doc").filter(enough).select("doc", "line", "n_pages")
 
 
-def with_running_lines(pages: DataFrame, rules: Rules = RULES) -> DataFrame:
-    """pages with the array boilerplate."""
+def with_running_lines(pages: DataFrame, rules: Rules = RULES, keep: bool = False, to: DataFrame | None = None) -> DataFrame:
+    """pages with the array boilerplate. keep: the lists are written first, so that their size is known and pages aren't shuffled to
+    meet them where they are few. to: the same pages, dealt otherwise."""
     lists = running_lines(pages, rules).groupBy("doc").agg(F.collect_list("line").alias("boilerplate"))
-    return pages.join(lists, "doc", "left").withColumn("boilerplate", F.coalesce("boilerplate", F.array().cast("array<string>")))
+    lists = scratch.written(lists, "running-lines") if keep else lists
+    return (pages if to is None else to).join(lists, "doc", "left").withColumn("boilerplate", F.coalesce("boilerplate", F.array().cast("array<string>")))
 
 
 def strip_running_lines(pages: DataFrame, rules: Rules = RULES) -> DataFrame:

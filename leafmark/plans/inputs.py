@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leafmark import scratch
+
 CLEAN = "the people know the market and the price of the book "
 TIMES = 12
 
@@ -17,7 +19,7 @@ def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of a source as the pages of books; a book has those of a thousand ids, so that no book grows with the table."""
     book = F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 1000).cast("string"))
     df = table(spark, sf_dir, "documents").select(book.alias("doc"), "doc_id", F.col("text").alias("text_raw"))
-    return df.select("doc", F.row_number().over(Window.partitionBy("doc").orderBy("doc_id")).alias("page_num"), "doc_id", "text_raw")
+    return scratch.dealt(df, "doc").select("doc", F.row_number().over(Window.partitionBy("doc").orderBy("doc_id")).alias("page_num"), "doc_id", "text_raw")
 
 
 def dirty_text(spark: SparkSession, sf_dir: str) -> DataFrame:

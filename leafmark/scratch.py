@@ -57,6 +57,14 @@ def table_name(at: str) -> str:
     return f"leafmark_{at[-32:]}"
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt by a key to several tasks for each core if they are many: heavy expressions want all cores to the end, and tasks that
+    are made by bytes alone come to one and a bit for each core."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    mb = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >> 20
+    return df.repartition(max(cores, min(4 * cores, mb), min(mb // 32, 20_000)), *by)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage with a compressed table: made once, and read again if an executor is lost."""
     spark = df.sparkSession
