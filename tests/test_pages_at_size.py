@@ -19,8 +19,12 @@ PAGES = "doc string, page_num int, text_raw string, ocr_raw string, ocr_error st
 
 def test_pages_are_not_shuffled_to_meet_short_lists(spark):
     rows = [("d", n, f"Running header\n{CLEAN * 12}", None, None) for n in range(1, 31)]
-    chunks = assemble.page_chunks(arbitrate(spark.createDataFrame(rows, PAGES)))
-    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "3000")  # less than the pages, more than the list
+    try:
+        chunks = assemble.page_chunks(arbitrate(spark.createDataFrame(rows, PAGES)))
+        plan = chunks._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert all(r.chunk.startswith(f"<!-- Page {r.page_num} (text") and "Running header" not in r.chunk for r in chunks.collect())
 
